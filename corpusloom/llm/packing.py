@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ LANE_TOKENS = 2_000_000
 GRAIN = 256
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 200_000
+#: Words whose ids a Python worker remembers, twice.
+REMEMBERED = 300_000
 
 
 def tokenizer_path() -> str:
@@ -35,8 +37,9 @@ def tokenizer_path() -> str:
 class WordIds:
     """Ids of words by the tokenizers library, which is asked once for a word that this worker remembers.
 
-    This tokenizer drops white space and never joins characters across it, so a text's ids are those of its words.
-    Two generations of at most `REMEMBERED` words each are kept.
+    This tokenizer lower-cases, drops white space and joins characters neither across it nor across the border of
+    letters and punctuation, so a text's ids are those of its pieces. Where the strings of special tokens may occur,
+    words stay whole. Two generations of the words that occur twice in a batch are kept.
     """
 
     def __init__(self, path: str):
@@ -45,22 +48,26 @@ class WordIds:
 
         self.library, self.young, self.old = Tokenizer.from_file(path), {}, {}
 
-    def __call__(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words, one after the other, and how many each has."""
-        names, young, old = distinct.cast(pa.large_string()).to_pylist(), self.young, self.old
-        found = [young.get(w) or old.get(w) for w in names]
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        plain = not pc.any(pc.match_substring(texts, "<|")).as_py()
+        w = textops.words(texts, lower=plain, punctuation=plain)
+        names, young, old = w.distinct.cast(pa.large_string()).to_pylist(), self.young, self.old
+        found = [young.get(x) or old.get(x) for x in names]
         new = [i for i, x in enumerate(found) if x is None]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for i, e in zip(part, self.library.encode_batch_fast([names[i] for i in part], add_special_tokens=False), strict=True):
-                found[i] = np.array(e.ids, "<u4").tobytes()
-        if len(young) + len(names) > REMEMBERED:
-            self.old, self.young = young, {}
-            young = self.young
-        for w, x in zip(names[:REMEMBERED], found, strict=False):
-            young[w] = x
+                found[i] = array("I", e.ids).tobytes()
+        for i in np.flatnonzero(np.bincount(w.codes, minlength=len(names)) > 1).tolist():
+            if len(young) >= REMEMBERED:
+                self.old, self.young = young, {}
+                young = self.young
+            young[names[i]] = found[i]
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        return np.frombuffer(b"".join(found), "<u4"), lengths
+        at, n = textops.spread(w.codes, np.cumsum(lengths) - lengths, lengths)
+        ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], w.ends))]
+        return np.frombuffer(b"".join(found), "<u4")[at], np.diff(ends)
 
 
 def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", end_id: int = END_ID) -> DataFrame:
@@ -70,14 +77,11 @@ def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         ids_of = WordIds(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in steps(batches):
-            w = textops.words(batch.column(2))
-            ids, lengths = ids_of(w.distinct)
-            at, n = textops.spread(w.codes, np.cumsum(lengths) - lengths, lengths)
-            flat = ids[at]
-            ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], w.ends))]
-            rows = [flat[a:b].tobytes() + end for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            flat, n = ids_of(batch.column(2))
+            ends = np.cumsum(n)
+            rows = [flat[b - k : b].tobytes() + end for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(ends) + 1), pa.array(rows, pa.binary())], ["doc_id", "source", "n_tokens", "ids"]
+                [batch.column(0), batch.column(1), pa.array(n + 1), pa.array(rows, pa.binary())], ["doc_id", "source", "n_tokens", "ids"]
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).cast("string").alias("text"))

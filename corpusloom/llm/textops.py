@@ -54,8 +54,24 @@ def coded(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndar
     return Words(found.indices.to_numpy(zero_copy_only=False), per_text, found.dictionary)
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
-    """Runs of characters that aren't ASCII white space; lower: A-Z become a-z first."""
+#: What a byte is at the edge of a word: 1 an ASCII letter, 2 ASCII punctuation other than an apostrophe.
+EDGE = np.zeros(256, np.uint8)
+EDGE[[*range(65, 91), *range(97, 123)]] = 1
+EDGE[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = 2
+
+
+def _letters(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where an ASCII or Latin-1 letter ends, and where one starts."""
+    ends, starts = EDGE[raw] == 1, EDGE[raw] == 1
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+    ends[lead + 1] = True
+    starts[lead] = True
+    return ends, starts
+
+
+def words(texts: pa.Array, lower: bool = False, punctuation: bool = False) -> Words:
+    """Runs of characters that aren't ASCII white space; lower: A-Z become a-z first; punctuation: cut between a letter and ASCII punctuation."""
     raw, bounds = utf8(texts)
     if lower:
         raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
@@ -65,6 +81,12 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     before = np.concatenate(([False], solid[:-1])) if len(raw) else solid
     starts = np.flatnonzero(solid & (~before | first[:-1]))
     after = np.concatenate((solid[1:], [False])) if len(raw) else solid
+    if punctuation and len(raw):
+        letter_ends, letter_starts = _letters(raw)
+        mark = EDGE[raw] == 2
+        cut = np.flatnonzero((letter_ends[:-1] & mark[1:]) | (mark[:-1] & letter_starts[1:])) + 1
+        first[cut] = True
+        starts = np.flatnonzero(solid & (~before | first[:-1]))
     ends = np.flatnonzero(solid & (~after | first[1:])) + 1
     return coded(raw, starts, ends, bounds)
 
