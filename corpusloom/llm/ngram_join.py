@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import steps, stored, table
-from .graph import components
+from .graph import bucket_components
 from .textops import mix, words
 
 #: Links need 100 * intersection >= PERCENT * union.
@@ -149,8 +149,8 @@ def index_keys(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> Dat
 
 def _may_link(percent: int) -> str:
     """SQL: sizes and parities allow a link. With a smaller and a larger set of a and b tokens, at most (100 - p)/(100 + p) (a + b) tokens differ."""
-    bits = " + ".join(f"bit_count(x.parity[{i}] ^ y.parity[{i}])" for i in range(PARITY_WORDS))
-    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * ({bits}) <= {100 - percent} * (x.n + y.n)"
+    bits = " + ".join(f"bit_count(x.m.parity[{i}] ^ y.m.parity[{i}])" for i in range(PARITY_WORDS))
+    return f"100 * least(x.m.n, y.m.n) >= {percent} * greatest(x.m.n, y.m.n) AND {100 + percent} * ({bits}) <= {100 - percent} * (x.m.n + y.m.n)"
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -201,22 +201,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sets = stored(texts.join(active, "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens binary"))
 
-    def may(pairs: DataFrame) -> DataFrame:
-        x = marks.select(F.col("doc_id").alias("a"), F.struct("n", "parity").alias("x"))
-        y = marks.select(F.col("doc_id").alias("b"), F.struct("n", "parity").alias("y"))
-        return pairs.join(x, "a").join(y, "b").filter(_may_link(percent)).select("a", "b")
-
-    stars = live.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = stored(verified(may(stars), sets, percent))
-    comp = components(links)
-    now = live.select("key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    now = now.select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    open_ = stored(now.join(mixed, "key").join(marks, "doc_id"))
-    x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, F.expr(f"x.key = y.key AND x.doc_id < y.doc_id AND x.comp <> y.comp AND {_may_link(percent)}"))
-    across = across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    comp = components(links.union(stored(verified(across, sets, percent))))
+    comp = bucket_components(
+        live.withColumnRenamed("doc_id", "node"),
+        marks.select(F.col("doc_id").alias("node"), F.struct("n", "parity").alias("m")),
+        _may_link(percent),
+        lambda pairs: verified(pairs, sets, percent),
+    )
     comp = comp.select(F.col("node").alias("rep"), "component")
     whole = same.join(comp, "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
     return rows.join(whole, ["digest", "n"], "left").select(
