@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(text))
-        ends = pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.binary_length(col), 0).cast(pa.int64())).to_numpy()
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(col), 0).cast(pa.int64())).to_numpy()
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
