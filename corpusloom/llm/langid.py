@@ -34,10 +34,10 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
 
 
-def gram_counts(texts: pa.Array, buckets: int = BUCKETS) -> Iterator[tuple[int, np.ndarray]]:
-    """(number of the first text, counts of texts x buckets) for a few texts at a time: byte n-grams of the letters, other ASCII as single spaces."""
+def gram_counts(texts: pa.Array, buckets: int = BUCKETS, plain: np.ndarray = _PLAIN) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the first text, counts of texts x buckets) for a few texts at a time: byte n-grams after the byte map `plain`, with runs of spaces as one."""
     raw, bounds = utf8(texts)
-    raw = _PLAIN[raw]
+    raw = plain[raw]
     keep = np.ones(len(raw), bool)
     keep[1:] = (raw[1:] != 32) | (raw[:-1] != 32)
     kept = np.concatenate(([0], np.cumsum(keep)))

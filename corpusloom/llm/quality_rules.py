@@ -27,9 +27,10 @@ def _grams(words: str, buckets: int) -> str:
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, w (the words) and the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    """doc_id, t (the text, null as empty), w (its words) and the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     rows = _words(docs, id_col, text_col).select(
         "doc_id",
+        "t",
         "w",
         F.size("w").cast("long").alias("n_words"),
         F.expr(f"cast(length(translate(t, {_SPACES}, '')) as long)").alias("word_chars"),
@@ -44,6 +45,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     return rows.select(
         "doc_id",
+        "t",
         "w",
         "n_words",
         "word_chars",

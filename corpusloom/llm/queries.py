@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact, packing, quality_rules, url_filter
+from . import exact, langid, ngram_join, packing, pieces, pii, quality_model, quality_rules, substring_dedup, url_filter
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_sentencepiece": pieces.query,
+    "op3_language_id": langid.query,
     "op4_quality_rules": quality_rules.query,
+    "op5_quality_classifier": quality_model.query,
+    "op6_ngram_jaccard_join": ngram_join.query,
+    "op7_pii": pii.query,
+    "op8_substring_dedup": substring_dedup.query,
     "op9_exact_dedup": exact.query,
     "op10_url_filters": url_filter.query,
 }
