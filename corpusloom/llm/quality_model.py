@@ -18,6 +18,7 @@ BUCKETS = 2048
 #: About so many documents, chosen by a hash of their texts, train the scorer.
 SAMPLE_DOCS = 3000
 KEEP = 0.5
+TELLING = 30
 _BYTES = np.arange(256, dtype=np.uint8)
 _BYTES[65:91] += 32
 _BYTES[48:58] = 48
@@ -33,7 +34,7 @@ def labellers() -> dict[str, Column]:
     lines = F.size(F.split("t", "\n"))
     ended = F.size(F.split("t", "[.!?\"'](\\s|$)")) - 1
     return {
-        "length": vote(n < 20, n >= 50),
+        "length": vote(n < 3, n >= 50),
         "symbols": vote(per_word(F.col("n_symbols")) > 0.1, per_word(F.col("n_symbols")) < 0.02),
         "lines": vote(F.col("n_dup_lines") > 0.3 * lines, F.col("n_dup_lines") == 0),
         "repeats": vote(F.col("n_repeat_words") > 0.5 * n, F.col("n_repeat_words") < 0.2 * n),
@@ -66,13 +67,18 @@ class LabelModel:
 def fit_labels(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
     """Expectation-maximisation over distinct vote patterns and their numbers, which is the same as over all documents.
 
-    It starts from the belief that a single bad vote tells.
+    It starts from the belief that a single bad vote tells, and holds every labeller to being better than chance: its
+    bad votes are at least TELLING times as likely on bad documents (up to one in two) as on good ones.
     """
     p, total = np.where((votes < 0).any(1), 0.1, 0.9), max(1.0, counts.sum())
     for _ in range(rounds):
         kinds = np.stack([(1 - p) * counts, p * counts])
         rates = np.stack([kinds @ (votes == v) for v in (-1, 0, 1)], 2).transpose(1, 0, 2) + 0.5  # labellers x kinds x votes
-        model = LabelModel(float(np.clip(kinds[1].sum() / total, 0.02, 0.98)), rates / rates.sum(2, keepdims=True))
+        rates /= rates.sum(2, keepdims=True)
+        bad = np.clip(rates[:, 0, 0], TELLING * np.minimum(rates[:, 1, 0], 0.5 / TELLING), 0.99)
+        rates[:, 0, 1:] *= ((1 - bad) / rates[:, 0, 1:].sum(1))[:, None]
+        rates[:, 0, 0] = bad
+        model = LabelModel(float(np.clip(kinds[1].sum() / total, 0.02, 0.98)), rates)
         p = model.posterior(votes)
     return model
 
@@ -100,7 +106,8 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     votes holds one character per labeller: + good, - bad, 0 none. The accuracies of the labellers come from the
     numbers of all vote patterns, at most three to the number of labellers. A linear model on the hashed byte n-grams of
-    whole texts learns the posterior labels from about `sample_docs` documents chosen by hash. kept: score >= keep.
+    whole texts learns the posterior labels from about `sample_docs` documents chosen by hash. kept: the mean of posterior
+    and score is at least `keep`.
     Scores of texts without n-grams are their posteriors, as are all scores where fewer than ten documents can train the
     model. Null text counts as empty; null and repeated ids have rows of their own; other columns are ignored.
     """
@@ -139,7 +146,7 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     score[at : at + len(x)][some] = 1 / (1 + np.exp(-(x[some] @ w + bias)))
             voted = [len(v) - v.count("0") for v in patterns]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(voted, pa.int32()), pa.array(p), pa.array(score), pa.array(score >= keep)],
+                [batch.column(0), batch.column(2), pa.array(voted, pa.int32()), pa.array(p), pa.array(score), pa.array((p + score) / 2 >= keep)],
                 ["doc_id", "votes", "n_votes", "posterior", "score", "kept"],
             )
 
