@@ -57,3 +57,19 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
             to = max(at + 1, int(ends.searchsorted(before + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+def maybe_among(rows: DataFrame, id_col: str, ids: DataFrame, words: int = 1 << 16) -> DataFrame:
+    """The rows whose id may be in the first column of `ids`, without a shuffle of the rows.
+
+    A bit map of 64 * `words` bits, the same size whatever the ids, drops most others; a join on the ids must follow.
+    """
+    bits = 64 * words
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    first = ids.columns[0]
+    known = ids.select(place(F.col(first)).alias("p")).groupBy(F.expr("cast(p div 64 as int)").alias("w"))
+    known = known.agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
+    every = rows.sparkSession.range(words).select(F.col("id").cast("int").alias("w")).join(known, "w", "left")
+    packed = every.agg(F.expr("transform(sort_array(collect_list(struct(w, coalesce(b, 0L) as b))), x -> x.b)").alias("m")).select("m").scalar()
+    at = place(F.col(id_col))
+    return rows.filter(F.getbit(F.get(packed, F.expr(f"cast(pmod(xxhash64({id_col}), {bits}) div 64 as int)")), (at % 64).cast("int")) == 1)

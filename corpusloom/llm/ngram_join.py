@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, stored, table
+from .common import maybe_among, steps, stored, table
 from .graph import bucket_components
 from .textops import mix, words
 
@@ -153,8 +153,17 @@ def _may_link(percent: int) -> str:
     return f"100 * least(x.m.n, y.m.n) >= {percent} * greatest(x.m.n, y.m.n) AND {100 + percent} * ({bits}) <= {100 - percent} * (x.m.n + y.m.n)"
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, by the exact sizes of intersection and union."""
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link, by the exact sizes of intersection and union; sets are made of the paired documents only."""
+    pairs = stored(pairs)
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1), k)], pa.binary())], ["doc_id", "tokens"])
+
+    sets = maybe_among(texts, "doc_id", ids).mapInArrow(run, "doc_id long, tokens binary")
+    sets = stored(sets.join(ids, "doc_id", "left_semi"))
 
     @F.pandas_udf("boolean")
     def links(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -195,17 +204,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     active = live.select("doc_id").distinct()
     marks = stored(indexed.drop("keys").join(active, "doc_id", "left_semi"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1), k)], pa.binary())], ["doc_id", "tokens"])
-
-    sets = stored(texts.join(active, "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens binary"))
-
     comp = bucket_components(
         live.withColumnRenamed("doc_id", "node"),
         marks.select(F.col("doc_id").alias("node"), F.struct("n", "parity").alias("m")),
         _may_link(percent),
-        lambda pairs: verified(pairs, sets, percent),
+        lambda pairs: verified(pairs, texts, k, percent),
     )
     comp = comp.select(F.col("node").alias("rep"), "component")
     whole = same.join(comp, "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, stored, table
+from .common import maybe_among, steps, stored, table
 from .graph import bucket_components
 from .textops import mix, utf8, words
 
@@ -124,8 +124,6 @@ def repeated_paragraphs(
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     live = stored(keys.join(shared, "key"))
     active = nodes.join(live.select("node").distinct(), "node", "left_semi")
-    wanted = active.groupBy("first_at.doc_id").agg(F.collect_list(F.struct("node", "first_at.start", "first_at.length")).alias("wanted"))
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             ids, lines = [], []
@@ -138,8 +136,6 @@ def repeated_paragraphs(
             sets = [np.unique(x).tobytes() for x in np.split(full, begins[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], ["node", "tokens"])
 
-    sets = stored(texts.join(wanted, "doc_id").select("text", "wanted").mapInArrow(cut, "node binary, tokens binary").dropDuplicates(["node"]))
-
     @F.pandas_udf("boolean")
     def close(left: pd.Series, right: pd.Series) -> pd.Series:
         def one(x: bytes, y: bytes) -> bool:
@@ -150,6 +146,12 @@ def repeated_paragraphs(
         return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype=bool)
 
     def verify(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs)
+        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = stored(nodes.select("node", "first_at").join(ids, "node", "left_semi").select(F.col("first_at.doc_id").alias("doc_id"), "node", "first_at"))
+        lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("node", "first_at.start", "first_at.length")).alias("wanted"))
+        sets = maybe_among(texts, "doc_id", wanted).join(lists, "doc_id").select("text", "wanted")
+        sets = stored(sets.mapInArrow(cut, "node binary, tokens binary").dropDuplicates(["node"]))
         left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
         right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
         return pairs.join(left, "a").join(right, "b").filter(close("left", "right")).select("a", "b")
