@@ -24,7 +24,8 @@ COUNTERS = 1 << 20
 BLOCK = 1 << 14
 #: Sets of up to so many shingles index pairs of frequent tokens; larger ones have prefixes long enough for single tokens.
 PAIRED = 320
-PARITY_WORDS = 8
+#: 64-bit words of a set's parity, and of the second one that sets of LARGE and more shingles have.
+PARITY_WORDS, LARGE, LARGE_WORDS = 8, 1500, 64
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -118,14 +119,14 @@ def prefix_keys(tokens: np.ndarray, level: np.ndarray, percent: int) -> np.ndarr
     return np.concatenate(keys)
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
+def parity(tokens: np.ndarray, words_: int) -> np.ndarray:
     """Bit i: whether an odd number of tokens fall on it. Sets that differ in d tokens differ in at most d bits."""
-    bits = np.bincount(((tokens >> np.uint64(40)) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    bits = np.bincount(((tokens >> np.uint64(40)) % np.uint64(64 * words_)).astype(np.int64), minlength=64 * words_) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def index_keys(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
-    """doc_id, n, parity, keys of every document whose set can link with a different one."""
+    """doc_id, n, parity, wide, keys of every document whose set can link with a different one."""
     floor = 2 * counts.mean() + 64
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers
     least = -(-100 // (100 - percent)) - 1  # smaller sets link with equal ones only
@@ -137,14 +138,15 @@ def index_keys(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> Dat
                 if len(s) >= least and doc is not None:
                     seen = shared.value[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
                     level = np.where(seen > floor, 1 + np.log2(np.maximum(seen / floor, 1)).astype(np.int64), 0)
-                    out.append((doc, len(s), parity(s), prefix_keys(s, level, percent).view(np.int64)))
-            doc, n, bits, keys = zip(*out, strict=True) if out else ((), (), (), ())
+                    wide = parity(s, LARGE_WORDS) if len(s) >= LARGE else None
+                    out.append((doc, len(s), parity(s, PARITY_WORDS), wide, prefix_keys(s, level, percent).view(np.int64)))
+            doc, n, bits, wide, keys = zip(*out, strict=True) if out else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n", "parity", "keys"],
+                [pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "n", "parity", "wide", "keys"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, parity array<long>, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, parity array<long>, wide array<long>, keys array<long>")
 
 
 def _may_link(percent: int) -> str:
@@ -153,6 +155,15 @@ def _may_link(percent: int) -> str:
     return f"100 * least(x.m.n, y.m.n) >= {percent} * greatest(x.m.n, y.m.n) AND {100 + percent} * ({bits}) <= {100 - percent} * (x.m.n + y.m.n)"
 
 
+def _large_may_link(pairs: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) without those of two large sets (doc_id, n, wide) whose wide parities differ too much."""
+    x = large.select(F.col("doc_id").alias("a"), F.col("n").alias("x_n"), F.col("wide").alias("x_wide"))
+    y = large.select(F.col("doc_id").alias("b"), F.col("n").alias("y_n"), F.col("wide").alias("y_wide"))
+    differ = F.expr("aggregate(zip_with(x_wide, y_wide, (a, b) -> bit_count(a ^ b)), 0, (a, b) -> a + b)")
+    may = F.coalesce((100 + percent) * differ <= (100 - percent) * (F.col("x_n") + F.col("y_n")), F.lit(True))
+    return pairs.join(x, "a", "left").join(y, "b", "left").filter(may).select("a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link, by the exact sizes of intersection and union; sets are made of the paired documents only."""
     pairs = stored(pairs)
@@ -203,12 +214,13 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = stored(keys.join(shared, "key"))
     active = live.select("doc_id").distinct()
     marks = stored(indexed.drop("keys").join(active, "doc_id", "left_semi"))
+    large = marks.filter("wide IS NOT NULL").select("doc_id", "n", "wide")
 
     comp = bucket_components(
         live.withColumnRenamed("doc_id", "node"),
         marks.select(F.col("doc_id").alias("node"), F.struct("n", "parity").alias("m")),
         _may_link(percent),
-        lambda pairs: verified(pairs, texts, k, percent),
+        lambda pairs: verified(_large_may_link(pairs, large, percent), texts, k, percent),
     )
     comp = comp.select(F.col("node").alias("rep"), "component")
     whole = same.join(comp, "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
