@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes of text that one step of a Python operator holds; a longer single text is a step of its own.
-STEP_BYTES = 16 << 20
+STEP_BYTES = 6 << 20
 
 #: The six ASCII white-space characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"

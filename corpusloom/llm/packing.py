@@ -76,7 +76,7 @@ def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = WordIds(path)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in steps(batches):
+        for batch in steps(batches, most=12 << 20):
             flat, n = ids_of(batch.column(2))
             ends = np.cumsum(n)
             rows = [flat[b - k : b].tobytes() + end for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
