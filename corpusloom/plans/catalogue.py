@@ -2,5 +2,345 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.operators import conversation as C
+from corpusloom.operators import corpus as D
+from corpusloom.operators import index as I
+from corpusloom.sources import load as L
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS if w.isascii())
+_TOKENS = r"list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9_\-'']*|[0-9]+(?:\.[0-9]+)?'), lambda x: x NOT IN (" + _STOP + "))"
+_BM25 = f"""
+d AS (SELECT doc_id, lang, greatest(len({_TOKENS}), 1) AS dl, {_TOKENS} AS w FROM documents),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d),
+p AS (SELECT doc_id, lang, dl, t, count(*) AS tf FROM (SELECT doc_id, lang, dl, unnest(w) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOKENS})) AS t FROM benchmark),
+h AS (SELECT query_id, doc_id, lang, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+      FROM q JOIN p USING (t) JOIN df USING (t), st GROUP BY ALL)
+"""
+
+
+def _ranked(where: str, k: int, head: str = "") -> str:
+    return f"""WITH {_BM25}, r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h {where})
+{head or 'SELECT * FROM r'} {'WHERE rank <= ' + str(k) if not head else ''}"""
+
+
+@query(_ranked("", 5))
+def bm25_top5(t):
+    return I.bm25(t("benchmark"), t("documents"), 5).drop("matched")
+
+
+@query(_ranked("WHERE lang = 'en'", 5))
+def bm25_scoped_lang_en(t):
+    return I.bm25(t("benchmark"), t("documents"), 5, F.col("lang") == "en").drop("matched")
+
+
+@query(f"""WITH p AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents)
+SELECT term, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM p GROUP BY term""")
+def idf_table(t):
+    return I.idf_table(t("documents")).withColumn("idf", F.round("idf", 6))
+
+
+@query(f"SELECT count(*) AS n_docs, round(avg(greatest(len({_TOKENS}), 1)), 6) AS avgdl FROM documents")
+def corpus_stats(t):
+    return I.corpus_stats(t("documents")).withColumn("avgdl", F.round("avgdl", 6))
+
+
+@query(f"""WITH {_BM25}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h),
+f AS (SELECT r.query_id, min(rank) AS rank FROM r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d USING (doc_id) WHERE r.rank <= 6 AND contains(d.text, b.text) GROUP BY 1)
+SELECT count(*) AS n_cases, round(avg(CASE WHEN rank IS NULL THEN 0 ELSE 1 END), 6) AS hit_rate, round(avg(CASE WHEN rank = 1 THEN 1 ELSE 0 END), 6) AS top1, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr
+FROM benchmark LEFT JOIN f ON f.query_id = item_id""")
+def retrieval_eval(t):
+    hits = I.bm25(t("benchmark"), t("documents"), 6).select("query_id", "doc_id", "rank")
+    cases = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("want"))
+    found = hits.join(cases, "query_id").join(t("documents").select("doc_id", "text"), "doc_id").filter(F.col("text").contains(F.col("want")))
+    found = cases.join(found.groupBy("query_id").agg(F.min("rank").alias("rank")), "query_id", "left")
+    share = lambda c: F.round(F.avg(c), 6)
+    return found.agg(
+        F.count(F.lit(1)).alias("n_cases"),
+        share(F.col("rank").isNotNull().cast("int")).alias("hit_rate"),
+        share((F.coalesce("rank", F.lit(0)) == 1).cast("int")).alias("top1"),
+        share(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"),
+    )
+
+
+@query(f"""WITH {_BM25}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h),
+s AS (SELECT n, ln(1 + (n + 0.5) / 0.5) AS most FROM st),
+w AS (SELECT query_id, q.t, CASE WHEN df IS NULL THEN NULL ELSE ln(1 + (n - df + 0.5) / (df + 0.5)) END AS idf FROM q LEFT JOIN df USING (t), s),
+a AS (SELECT query_id, coalesce(sum(idf), 0) AS known, count(*) FILTER (idf IS NULL) AS unknown, least(any_value(most), coalesce(avg(idf), 0)) AS pen FROM w, s GROUP BY 1),
+m AS (SELECT r.query_id, r.doc_id, r.rank, sum(w.idf) AS got FROM r JOIN w USING (query_id) JOIN p ON p.doc_id = r.doc_id AND p.t = w.t WHERE r.rank <= 5 GROUP BY ALL)
+SELECT query_id, doc_id, rank, round(got / (known + unknown * pen), 4) AS coverage FROM m JOIN a USING (query_id)""")
+def idf_coverage(t):
+    docs, terms = t("documents"), I.query_terms(t("benchmark"))
+    n = docs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    weights = terms.join(I.idf_table(docs), "term", "left")
+    known = weights.groupBy("query_id").agg(
+        F.coalesce(F.sum("idf"), F.lit(0.0)).alias("known"), F.count_if(F.col("idf").isNull()).alias("unknown"), F.coalesce(F.avg("idf"), F.lit(0.0)).alias("mean")
+    )
+    pen = F.least(F.log(1 + (n + 0.5) / 0.5), F.col("mean"))
+    hits = I.bm25(t("benchmark"), docs, 5).select("query_id", "doc_id", "rank", F.explode("matched").alias("term"))
+    got = hits.join(weights, ["query_id", "term"]).groupBy("query_id", "doc_id", "rank").agg(F.sum("idf").alias("got"))
+    return got.join(known, "query_id").select("query_id", "doc_id", "rank", F.round(F.col("got") / (F.col("known") + F.col("unknown") * pen), 4).alias("coverage"))
+
+
+@query(f"""WITH {_BM25}, r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h),
+c AS (SELECT r.*, list_distinct(regexp_extract_all(lower(b.text), '[a-z][a-z0-9_\\-'']*|[0-9]+(?:\\.[0-9]+)?')) AS bw, b.text AS bt, d.text AS dt, dd.w AS dw, score / max(score) OVER (PARTITION BY query_id) AS s
+      FROM r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d USING (doc_id) JOIN d dd USING (doc_id) WHERE r.rank <= 20),
+e AS (SELECT *, list_filter(bw, lambda x: x NOT IN ({_STOP})) AS qw FROM c),
+g AS (SELECT query_id, doc_id, round(0.6 * s + 0.4 * least(1, list_sum(list_transform(qw, lambda x: CASE WHEN list_contains(dw, x) THEN len(x) ELSE 0 END)) / list_sum(list_transform(qw, lambda x: len(x)))
+      + CASE WHEN contains(dt, bt) AND len(bt) >= 4 THEN 0.15 ELSE 0 END), 6) AS score FROM e)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g) WHERE rank <= 6""")
+def lexical_rerank(t):
+    hits = I.bm25(t("benchmark"), t("documents"), 20)
+    s = F.col("score") / F.max("score").over(Window.partitionBy("query_id"))
+    rows = hits.withColumn("s", s).join(t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id")
+    rows = rows.join(t("documents").select("doc_id", "text"), "doc_id").withColumn("qw", F.array_distinct(T.tokens(F.col("q"))))
+    size = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.length(x))
+    share = size("matched") / size("qw")
+    phrase = F.when((F.length("q") >= 4) & F.col("text").contains(F.col("q")), 0.15).otherwise(0.0)
+    return I.top(rows.select("query_id", "doc_id", F.round(0.6 * F.col("s") + 0.4 * F.least(F.lit(1.0), share + phrase), 6).alias("score")), 6)
+
+
+@query("""WITH g AS (SELECT md5(text) AS content_hash, min(doc_id) AS keep_id, count(*) AS n FROM documents GROUP BY 1)
+SELECT content_hash, keep_id, n FROM g WHERE n > 1""")
+def doc_exact_dups(t):
+    return t("documents").groupBy(F.md5("text").alias("content_hash")).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY md5(text)) THEN 'index' ELSE 'skip' END AS action FROM documents")
+def doc_dup_policy(t):
+    first = t("documents").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("first"))
+    rows = t("documents").select("doc_id", F.md5("text").alias("h")).join(first, "h")
+    return rows.select("doc_id", F.when(F.col("doc_id") == F.col("first"), "index").otherwise("skip").alias("action"))
+
+
+_SIMHASH = f"""
+tk AS (SELECT doc_id, t, count(*) AS tf, ('0x' || md5(t)[1:16])::UBIGINT AS h FROM (SELECT doc_id, unnest({_TOKENS}) AS t FROM documents) GROUP BY ALL),
+vt AS (SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN tf ELSE -tf END) AS v FROM tk, range(64) AS r(b) GROUP BY ALL),
+sv AS (SELECT doc_id, sum(CASE WHEN v > 0 THEN (1::HUGEINT << b) ELSE 0 END) AS u FROM vt GROUP BY 1),
+sh AS (SELECT d.doc_id, len(text) AS n_chars, (CASE WHEN coalesce(u, 0) >= (1::HUGEINT << 63) THEN u - (1::HUGEINT << 64) ELSE coalesce(u, 0) END)::BIGINT AS simhash FROM documents d LEFT JOIN sv USING (doc_id))
+"""
+
+
+@query(f"WITH {_SIMHASH} SELECT doc_id, simhash FROM sh")
+def doc_simhash(t):
+    return D.simhash(t("documents")).select("doc_id", "simhash")
+
+
+@query(f"""WITH {_SIMHASH}, p AS (SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.simhash, y.simhash)) AS distance FROM sh x JOIN sh y ON x.doc_id < y.doc_id
+WHERE bit_count(xor(x.simhash, y.simhash)) <= 3 AND (x.n_chars = 0 OR y.n_chars = 0 OR abs(x.n_chars - y.n_chars) <= 0.02 * greatest(x.n_chars, y.n_chars))),
+g AS (SELECT simhash, n_chars, min(doc_id) AS rep FROM sh GROUP BY ALL), r AS (SELECT doc_id, rep FROM sh JOIN g USING (simhash, n_chars))
+SELECT a, b, distance::BIGINT AS distance FROM p JOIN r ra ON ra.doc_id = a JOIN r rb ON rb.doc_id = b WHERE (ra.rep = a AND rb.rep = b) OR (ra.rep = rb.rep AND ra.rep = a)""")
+def doc_near_dups(t):
+    return D.near_pairs(D.simhash(t("documents"))).withColumn("distance", F.col("distance").cast("long"))
+
+
+_KNN = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id % 50 = 0),
+x AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(e, embedding::DOUBLE[]), 6) AS score FROM q JOIN embeddings v ON v.vec_id <> query_id {on})
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 10"""
+
+
+@query(_KNN.format(on=""))
+def knn_top10(t):
+    v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return I.knn(v.filter("id % 50 = 0"), v, 10)
+
+
+@query(_KNN.format(on="AND v.label = 3"))
+def knn_scoped_label(t):
+    v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    return I.knn(v.filter("id % 50 = 0"), v.filter("label = 3"), 10)
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z][a-z0-9_\\-'']*|[0-9]+(?:\\.[0-9]+)?')) AS n_all, len({_TOKENS}) AS n_kept FROM documents")
+def token_counts(t):
+    return t("documents").select("doc_id", F.size(T.tokens(F.col("text"), True)).alias("n_all"), F.size(T.tokens(F.col("text"))).alias("n_kept"))
+
+
+@query("""SELECT item_id, len(list_filter(list_transform(string_split_regex(text, '[!?;\n]'), lambda x: trim(x)), lambda x: x <> '')) AS n FROM benchmark WHERE NOT regexp_matches(text, '[!?;]')""")
+def sentences(t):
+    return t("benchmark").filter(~F.col("text").rlike("[!?;]")).select("item_id", F.size(T.sentences(F.col("text"))).alias("n"))
+
+
+@query("""SELECT item_id, sum(greatest(len(text) - n + 1, 0))::BIGINT AS n_grams FROM benchmark, range(1, 4) AS r(n) GROUP BY 1""")
+def char_ngrams(t):
+    return t("benchmark").select("item_id", F.size(T.char_ngrams(F.col("text"))).cast("long").alias("n_grams"))
+
+
+@query("SELECT doc_id, CASE WHEN len(text) > 120 THEN left(replace(text, chr(10), ' '), 119) || '…' ELSE replace(text, chr(10), ' ') END AS preview FROM documents")
+def truncate_preview(t):
+    return t("documents").select("doc_id", C.preview(F.col("text")).alias("preview"))
+
+
+@query("SELECT doc_id, CASE WHEN len(text) = 0 THEN 0 ELSE floor(0.3::DOUBLE * len(text)) + 1 END::INT AS n FROM documents")
+def est_tokens(t):
+    return t("documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("n"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents)
+SELECT doc_id, line, count(*) AS n FROM l WHERE len(line) BETWEEN 1 AND 40 AND NOT regexp_matches(line, '^(#{1,6}\s|>\s|[-*+]\s|\d+[.)]\s|\||```)') GROUP BY ALL HAVING count(*) >= 3""")
+def clean_repeated_lines(t):
+    return D.repeated_lines(t("documents"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents),
+c AS (SELECT *, count(*) FILTER (len(line) BETWEEN 1 AND 40 AND NOT regexp_matches(line, '^(#{1,6}\s|>\s|[-*+]\s|\d+[.)]\s|\||```)')) OVER (PARTITION BY doc_id, line) AS n FROM l)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (n >= 3 OR (line <> '' AND len(line) <= 12 AND regexp_matches(line, '^\s*[-\[\(]*\s*\d{1,4}\s*(?:/\s*\d{1,4})?\s*[-\]\)]*\s*$'))) AS n_dropped FROM c GROUP BY 1""")
+def clean_stats(t):
+    return D.cleaned_lines(t("documents")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("dropped").alias("n_dropped"))
+
+
+@query(r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title,
+trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<title\b[^>]*>.*?</title>', ' ', 'gis'), '<script\b[^>]*>.*?</script>', ' ', 'gis'), '<style\b[^>]*>.*?</style>', ' ', 'gis'),
+ '<nav\b[^>]*>.*?</nav>', ' ', 'gis'), '<(?:footer\b[^>]*>.*?</footer|aside\b[^>]*>.*?</aside|form\b[^>]*>.*?</form)>|<!--.*?-->', ' ', 'gs'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
+def html_title_text(t):
+    title, text = L.html_columns(F.col("html"))
+    return t("pages").select("page_id", title.alias("title"), text.alias("text"))
+
+
+@query("""SELECT page_id, CASE WHEN NOT regexp_matches(url, '^(?i)https?://') THEN 'scheme' WHEN regexp_matches(url, '^[^/]*//[^/?#]*@') THEN 'userinfo'
+WHEN regexp_matches(url, '^(?i)https?://[^/?#:]*(localhost|[.]local|[.]internal)([/?#:]|$)') THEN 'blocked host' ELSE 'ok' END AS verdict FROM pages""")
+def url_syntax_guard(t):
+    return t("pages").select("page_id", L.url_verdict(F.col("url")).alias("verdict"))
+
+
+@query()
+def fixed_pack_chunks(t):
+    chunks = D.packed_chunks(t("documents"))
+    return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_chars").alias("n_chars"))
+
+
+@query()
+def chunk_window(t):
+    chunks = D.packed_chunks(t("documents"))
+    return D.chunk_window(chunks, chunks.filter("ordinal = 1").select("doc_id", "ordinal"), 1).select("doc_id", "hit_ordinal", "ordinal", "n_chars")
+
+
+@query()
+def read_document_prefix(t):
+    return D.read_prefix(D.packed_chunks(t("documents"))).select("doc_id", "ordinal", "n_chars", "total")
+
+
+@query()
+def doc_greedy_dedup(t):
+    hashes = D.simhash(t("documents"))
+    return D.greedy_keep(hashes, D.near_pairs(hashes))
+
+
+@query("""SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations QUALIFY back <= 12""")
+def history_last12(t):
+    return C.history(t("conversations")).select("conv_id", "turn", "role", "back")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM r WHERE back > 2 AND role IN ('user', 'assistant'))
+SELECT conv_id, left(string_agg(role || '：' || text, '；' ORDER BY turn), 300) AS summary FROM o WHERE n >= 2 AND r <= 6 GROUP BY 1""")
+def rolling_summary(t):
+    return C.rolling_summary(t("conversations"), trigger=2, least=2)
+
+
+@query("""WITH u AS (SELECT *, trim(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS before FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN len(text) <= 40 AND regexp_matches(text, 'the|die|que') AND coalesce(before, '') <> '' AND before <> text THEN left(before, 80) || ' ' || text ELSE text END AS question FROM u""")
+def rewrite_pronoun(t):
+    return C.rewrite(t("conversations"), ("the", "die", "que"), 40)
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 6 DAY GROUP BY 1")
+def daily_counts(t):
+    last = t("events").agg(F.max("ts").alias("m")).select("m").scalar()
+    return t("events").filter(F.col("ts") >= last - F.expr("INTERVAL 6 DAYS")).groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type AS intent, count(*) AS n FROM events GROUP BY 1")
+def intent_mix(t):
+    return t("events").groupBy(F.col("event_type").alias("intent")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "intent")
+
+
+@query("SELECT coalesce(round(avg(value), 1), 0.0) AS latency FROM events")
+def avg_latency(t):
+    return t("events").agg(F.coalesce(F.round(F.avg("value"), 1), F.lit(0.0)).alias("latency"))
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
+def latest_feedback(t):
+    return t("events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@query("""SELECT count(*) AS n_documents, count(*) FILTER (lang = 'en') AS n_en, sum(n_chars)::BIGINT AS n_chars, count(DISTINCT source) AS n_sources, (SELECT count(*) FROM labels WHERE quality = 1) AS n_good FROM documents""")
+def kb_stats(t):
+    good = t("labels").agg(F.count_if(F.col("quality") == 1).alias("n")).select("n").scalar()
+    docs = t("documents").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("lang") == "en").alias("n_en"), F.sum("n_chars").alias("n_chars"), F.countDistinct("source").alias("n_sources"))
+    return docs.withColumn("n_good", good)
+
+
+@query("SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def latest_version(t):
+    best = t("events").groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    return best.select("user_id", "event_type", "value")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def tombstone_delete(t):
+    return t("documents").join(t("labels").filter("quality = 0"), "doc_id", "left_anti").select("doc_id", "lang")
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 10")
+def page_of_documents(t):
+    return t("documents").orderBy(F.desc("n_chars"), "doc_id").offset(10).limit(20).select("doc_id", "source")
+
+
+@query(f"""WITH {_BM25}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h),
+q2 AS (SELECT query_id, list(t) AS qw FROM q GROUP BY 1)
+SELECT r.query_id, r.doc_id, round(len(list_intersect(qw, d.w)) / len(qw), 6) AS overlap, round(len(list_intersect(qw, d.w)) / len(qw), 6) >= 0.25 AS supported
+FROM r JOIN q2 USING (query_id) JOIN d USING (doc_id) WHERE rank <= 3""")
+def grounding_overlap(t):
+    hits = I.bm25(t("benchmark"), t("documents"), 3).select("query_id", "doc_id")
+    rows = hits.join(t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("answer")), "query_id")
+    return C.grounding(rows.join(t("documents").select("doc_id", F.col("text").alias("evidence")), "doc_id"))
+
+
+@query(f"""WITH {_BM25}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h),
+q2 AS (SELECT query_id, list(t) AS qw FROM q WHERE len(t) >= 2 GROUP BY 1)
+SELECT query_id, doc_id, round(len(list_filter(qw, lambda x: contains(lower(text), x))) / len(qw), 6) AS coverage FROM r JOIN q2 USING (query_id) JOIN documents USING (doc_id) WHERE rank = 1""")
+def aspect_coverage(t):
+    hits = I.bm25(t("benchmark"), t("documents"), 1).select("query_id", "doc_id")
+    rows = hits.join(t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id").join(t("documents").select("doc_id", "text"), "doc_id")
+    return rows.select("query_id", "doc_id", F.round(C.coverage(F.col("q"), F.col("text")), 6).alias("coverage"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN len(text) > 45 OR length(regexp_replace(text, '[^,，]', '', 'g')) >= 3 OR len(list_filter(string_split_regex(text, '[?？]'), lambda x: trim(x) <> '')) >= 2 THEN 'complex_qa' ELSE 'simple_qa' END AS intent FROM conversations WHERE role = 'user'")
+def question_intent(t):
+    return t("conversations").filter("role = 'user'").select("conv_id", "turn", C.intent(F.col("text")).alias("intent"))
+
+
+def _features(t) -> tuple[DataFrame, DataFrame]:
+    return I.hash_features(t("benchmark"), "item_id"), I.hash_features(t("documents"))
+
+
+@query()
+def hash_embed_sparse(t):
+    return I.hash_features(t("benchmark"), "item_id").withColumn("value", F.round("value", 6))
+
+
+@query()
+def hybrid_fuse(t):
+    asked, stored = _features(t)
+    return I.fuse(I.sparse_cosine(asked, stored, 30), I.bm25(t("benchmark"), t("documents"), 30), 6)
