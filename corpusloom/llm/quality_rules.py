@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, table, text_or_empty
+from .common import SPACE_RUN, maybe_among, stored, table, text_or_empty
 
 BUCKETS = 8192
 #: A document is kept when its mean log-likelihood ratio is at least this.
@@ -61,22 +61,18 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """b, ratio: of each bucket the log of its share in the trusted texts over its share in all texts, both smoothed by one.
 
-    `trusted` has the ids of the trusted target. A bucket is counted before anything is shuffled; the result has
+    `trusted` has the ids of the trusted target; only the texts that a bit map of these ids lets pass are shuffled. A bucket is counted before anything is shuffled; the result has
     `buckets` rows at any size of the corpus.
     """
-    ids = trusted.select(F.col(id_col).alias("doc_id"), F.lit(1).alias("target")).distinct()
-    grams = _words(docs, id_col, text_col).join(ids, "doc_id", "left").select(
-        F.coalesce("target", F.lit(0)).alias("target"), F.explode(F.expr(_grams("w", buckets))).alias("b")
-    )
-    counts = grams.groupBy("b").agg(F.sum("target").alias("good"), F.count(F.lit(1)).alias("n"))
+    ids = trusted.select(F.col(id_col).alias("known_id")).distinct()
+    good = maybe_among(docs.select(id_col, text_col), id_col, ids).join(ids, F.col(id_col) == F.col("known_id"), "left_semi")
+    count = lambda rows, name: _words(rows, id_col, text_col).select(F.explode(F.expr(_grams("w", buckets))).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias(name))
+    counts = count(docs, "n").join(count(good, "good"), "b", "left").na.fill(0)
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").na.fill(0)
-    total = counts.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("sg"), F.coalesce(F.sum("n"), F.lit(0)).alias("sn"))
-    return every.select(
-        "b",
-        (
-            F.log((F.col("good") + 1) / (total.select("sg").scalar() + buckets)) - F.log((F.col("n") + 1) / (total.select("sn").scalar() + buckets))
-        ).alias("ratio"),
-    )
+    every = stored(every)
+    total = every.agg(F.sum("good").alias("sg"), F.sum("n").alias("sn"))
+    share = lambda c, t: F.log((F.col(c) + 1) / (F.col(t) + buckets))
+    return every.join(F.broadcast(total)).select("b", (share("good", "sg") - share("n", "sn")).alias("ratio"))
 
 
 def quality_rules(
