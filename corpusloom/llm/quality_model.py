@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, table
+from .common import steps, stored, table
 from .langid import gram_counts
 from .quality_rules import base_counts
 
@@ -113,7 +113,8 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     heuristics = labellers()
     votes = F.concat(*[F.when(v > 0, "+").when(v < 0, "-").otherwise("0") for v in heuristics.values()])
-    rows = base_counts(docs, id_col, text_col).select("doc_id", F.col("t").alias("text"), votes.alias("votes"))
+    # Stored, as counting takes most of the work and three passes need the votes.
+    rows = stored(base_counts(docs, id_col, text_col).select("doc_id", F.col("t").alias("text"), votes.alias("votes")))
     numbers = lambda patterns: np.array([[{"+": 1, "-": -1}.get(c, 0) for c in v] for v in patterns], int).reshape(-1, len(heuristics))
     found = {r["votes"]: r["count"] for r in rows.groupBy("votes").count().collect()}
     labels = fit_labels(numbers(found), np.array(list(found.values()), float))
