@@ -62,9 +62,16 @@ def merge_wrapped(lines: Column) -> Column:
     return F.aggregate(lines, empty, step)
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, simhash, n_chars: bit i is set when more tokens have it set in the first 8 bytes of their MD5 than not; a text without tokens has 0."""
-    terms = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens(F.col(text_col))).alias("t")).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("tf"))
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", characters: bool = False) -> DataFrame:
+    """doc_id, simhash, n_chars: bit i is set when more tokens have it set in the first 8 bytes of their MD5 than not.
+
+    A text without tokens has 0; with `characters`, its lower-cased characters are its tokens, and only empty texts have 0.
+    """
+    found = tokens(F.col(text_col))
+    if characters:
+        low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+        found = F.when((F.size(found) > 0) | (low == ""), found).otherwise(F.split(low, ""))
+    terms = docs.select(F.col(id_col).alias("doc_id"), F.explode(found).alias("t")).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("tf"))
     terms = terms.withColumn("h", hex_to_long(F.substring(F.md5("t"), 1, 16)))
     votes = [F.sum(F.when(F.getbit("h", F.lit(i)) == 1, F.col("tf")).otherwise(-F.col("tf"))).alias(f"b{i}") for i in range(64)]
     bit = lambda i: F.when(F.col(f"b{i}") > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
@@ -75,33 +82,41 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.length(text_col).alias("n_chars")).join(found, "doc_id", "left").na.fill({"simhash": 0})
 
 
-def near_pairs(hashes: DataFrame, distance: int = 3, tolerance: float = 0.02) -> DataFrame:
-    """a, b (a < b), distance: pairs of documents within `distance` bits and `tolerance` in length.
-
-    Equal hashes are merged first, so that copies don't fill a band; distance + 1 bands, at least four, lose no pair.
-    Documents with equal hashes are paired with the smallest of them.
-    """
+def near_classes(hashes: DataFrame, distance: int = 3, tolerance: float = 0.02) -> tuple[DataFrame, DataFrame]:
+    """The classes of equal (simhash, n_chars) with their smallest id as doc_id; and a, b (a < b), distance of near classes."""
     bands = max(4, distance + 1)
     width = 64 // bands
     groups = hashes.groupBy("simhash", "n_chars").agg(F.min("doc_id").alias("doc_id"))
     keys = groups.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("simhash", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for i in range(bands)])).alias("band"))
     close = "x.band = y.band AND x.doc_id < y.doc_id AND bit_count(x.simhash ^ y.simhash) <= {} AND (x.n_chars = 0 OR y.n_chars = 0 OR abs(x.n_chars - y.n_chars) <= {} * greatest(x.n_chars, y.n_chars))"
     pairs = keys.alias("x").join(keys.alias("y"), F.expr(close.format(distance, tolerance)))
-    pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.expr("bit_count(x.simhash ^ y.simhash)").alias("distance")).distinct()
+    return groups, pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.expr("bit_count(x.simhash ^ y.simhash)").alias("distance")).distinct()
+
+
+def near_pairs(hashes: DataFrame, distance: int = 3, tolerance: float = 0.02) -> DataFrame:
+    """a, b (a < b), distance: pairs of documents within `distance` bits and `tolerance` in length.
+
+    Equal hashes are merged first, so that copies don't fill a band; distance + 1 bands, at least four, lose no pair.
+    Documents with equal hashes are paired with the smallest of them.
+    """
+    groups, pairs = near_classes(hashes, distance, tolerance)
     same = hashes.join(groups.withColumnRenamed("doc_id", "a"), ["simhash", "n_chars"]).filter("doc_id > a").select("a", F.col("doc_id").alias("b"), F.lit(0).alias("distance"))
     return pairs.union(same)
 
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
+def greedy_keep(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, kept: in id order, a document is dropped if a kept earlier one is its pair (a < b); a dropped one drops no other.
 
-    Each round decides the documents whose earlier partners are all decided.
+    Each round decides the documents whose earlier partners are all decided, until none is open.
     """
+    pairs = pairs.select("a", "b").checkpoint()
     state = nodes.select("doc_id").join(pairs.select(F.col("b").alias("doc_id")).distinct().withColumn("open", F.lit(True)), "doc_id", "left")
     state = state.select("doc_id", F.when(F.col("open"), F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("kept")).checkpoint()
-    for _ in range(most_rounds):
-        if not state.filter("kept IS NULL").limit(1).count():
-            break
+    before = None
+    while left := state.filter("kept IS NULL").count():
+        if left == before:
+            raise RuntimeError(f"{left} documents wait for one another: pairs need a < b")
+        before = left
         told = pairs.join(state.select(F.col("doc_id").alias("a"), F.col("kept").alias("a_kept")), "a").groupBy(F.col("b").alias("doc_id"))
         told = told.agg(F.bool_or("a_kept").alias("hit"), F.bool_or(F.col("a_kept").isNull()).alias("wait"))
         decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.col("wait"), F.lit(None)).otherwise(True)
@@ -109,6 +124,19 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, most_rounds: int = 50) -> Da
     return state
 
 
+def greedy_dedup(hashes: DataFrame, distance: int = 3, tolerance: float = 0.02) -> DataFrame:
+    """doc_id, kept: greedy_keep over all pairs within `distance` and `tolerance`, decided per class of equal (simhash, n_chars).
+
+    A class's later members are near its first one and near all that this is near, so they are dropped either way. A null
+    text is near nothing and stays.
+    """
+    groups, pairs = near_classes(hashes, distance, tolerance)
+    firsts = greedy_keep(groups.filter("n_chars IS NOT NULL"), pairs)
+    classes = groups.join(firsts, "doc_id").select("simhash", "n_chars", F.col("doc_id").alias("first"), F.col("kept").alias("first_kept"))
+    kept = F.when(F.col("first").isNull(), True).otherwise((F.col("doc_id") == F.col("first")) & F.col("first_kept"))
+    return hashes.join(classes, ["simhash", "n_chars"], "left").select("doc_id", kept.alias("kept"))
+
+
 _SENTENCE = re.compile("[^。！？!?…；;\n]*(?:[。！？!?…；;\n][”’」』）)\\]\"']*|$)")
 
 

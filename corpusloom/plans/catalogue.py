@@ -241,8 +241,7 @@ def read_document_prefix(t):
 
 @query()
 def doc_greedy_dedup(t):
-    hashes = D.simhash(t("documents"))
-    return D.greedy_keep(hashes, D.near_pairs(hashes))
+    return D.greedy_dedup(D.simhash(t("documents"), characters=True))
 
 
 @query("""SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations QUALIFY back <= 12""")

@@ -1,5 +1,7 @@
 """The catalogue's queries against DuckDB, and functions and sources on hand-made cases."""
 
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +72,30 @@ def test_greedy_chain(spark, tmp_path):
     assert {r.doc_id: r.kept for r in D.greedy_keep(nodes, pairs).collect()} == {1: True, 2: False, 3: True}
 
 
+def test_greedy_brute_force(spark, sf_dir, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    hand = [(1, 0b0, 100), (2, 0b111, 100), (3, 0b111, 100), (4, 0b111111, 100), (5, 0b1111111, 99), (6, 0b111, 100), (7, 5, None), (8, 5, None)]
+    tables = [spark.createDataFrame(hand, "doc_id long, simhash long, n_chars int")]
+    tables.append(D.simhash(spark.read.parquet(f"{sf_dir}/documents.parquet"), characters=True))
+    for hashes in tables:
+        kept, want = [], {}
+        for i, h, n in sorted((r.doc_id, r.simhash, r.n_chars) for r in hashes.collect()):
+            near = lambda g, m: n is not None and m is not None and ((g ^ h) % (1 << 64)).bit_count() <= 3 and (n == 0 or m == 0 or abs(n - m) <= 0.02 * max(n, m))  # noqa: B023, E731
+            want[i] = not any(near(g, m) for g, m in kept)
+            if want[i]:
+                kept.append((h, n))
+        assert {r.doc_id: r.kept for r in D.greedy_dedup(hashes).collect()} == want
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 60)], "a long, b long")
+    assert {r.doc_id: r.kept for r in D.greedy_keep(spark.range(1, 61).toDF("doc_id"), pairs).collect()} == {i: i % 2 == 1 for i in range(1, 61)}
+
+
+def test_simhash_of_characters(spark):
+    docs = spark.createDataFrame([(1, "!?!"), (2, ""), (3, None), (4, "The")], "doc_id long, text string")
+    votes = lambda t: sum(1 << b for b in range(64) if sum(1 if int(hashlib.md5(c.encode()).hexdigest()[:16], 16) >> b & 1 else -1 for c in t) > 0)
+    got = {r.doc_id: r.simhash % (1 << 64) for r in D.simhash(docs, characters=True).collect()}
+    assert got == {1: votes("!?!"), 2: 0, 3: 0, 4: votes("the")}
+
+
 def test_chunks_are_slices(spark):
     text = "一句。" * 300 + "\n\n" + "x" * 700 + "\nend"
     docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
