@@ -16,7 +16,10 @@ RULES = (
     ("block", "org", "/es/"),
 )
 DAMPING = 0.85
-ROUNDS = 8
+#: Propagation stops when four rounds change all values by less than this in sum; what is still to come is at most 1.1 times as much.
+TOLERANCE = 1e-6
+#: Damping bounds the rounds until then at about 100; more than this many means that something is wrong.
+MOST_ROUNDS = 200
 #: A host is blocked when its distrust exceeds this times its trust and this times its share of all pages.
 DISTRUST_RATIO = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,14 +65,15 @@ def host_edges(pages: DataFrame) -> DataFrame:
     ).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust: personalised PageRank after `rounds` rounds.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, trust, distrust: personalised PageRank, iterated until four rounds change less than `tolerance` in sum.
 
     edges: src, dst, weight. seeds: host, trust, distrust, each at least 0. Trust flows along the edges from the trusted
     seeds; distrust flows against them, from the blocked seeds to the hosts that link to them. Either kind is scaled so
     that its seeds sum to 1; without seeds of a kind it is 0 everywhere. What a host without out-edges would pass on is
     lost. Both kinds run in one loop, as rows (host, kind, value); each round is one join on (host, kind), in which Spark
-    splits a hot host, and one sum per host that is combined before the shuffle. The state is stored every fourth round.
+    splits a hot host, and one sum per host that is combined before the shuffle. Every fourth round is stored and
+    compared with the one stored before. Raises if `rounds` rounds, rounded up to a multiple of four, are not enough.
     """
     both = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), "weight", F.lit("trust").alias("kind")).union(
         edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), "weight", F.lit("distrust").alias("kind"))
@@ -80,23 +84,29 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     start = start.filter("seed > 0").groupBy("host", "kind").agg(F.sum("seed").alias("seed"))
     sums = start.groupBy("kind").agg(F.sum("seed").alias("total"))
     start = stored(start.join(F.broadcast(sums), "kind").select("host", "kind", (F.col("seed") / F.col("total")).alias("seed")))
-    state = start.select("host", "kind", F.col("seed").alias("value"))
-    for n in range(1, rounds + 1):
-        moved = state.join(both, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (damping * F.col("value") * F.col("share")).alias("value"))
-        state = (
-            moved.union(start.select("host", "kind", ((1 - damping) * F.col("seed")).alias("value")))
-            .groupBy("host", "kind")
-            .agg(F.sum("value").alias("value"))
-        )
-        if n % 4 == 0:
-            state = stored(state)
+    state = before = start.select("host", "kind", F.col("seed").alias("value"))
+    for _ in range(0, rounds, 4):
+        for _ in range(4):
+            moved = state.join(both, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (damping * F.col("value") * F.col("share")).alias("value"))
+            state = (
+                moved.union(start.select("host", "kind", ((1 - damping) * F.col("seed")).alias("value")))
+                .groupBy("host", "kind")
+                .agg(F.sum("value").alias("value"))
+            )
+        state = stored(state)
+        change = state.union(before.select("host", "kind", -F.col("value"))).groupBy("host", "kind").agg(F.abs(F.sum("value")).alias("d"))
+        if (change.agg(F.sum("d")).first()[0] or 0.0) < tolerance:
+            break
+        before = state
+    else:
+        raise RuntimeError(f"trust and distrust have not settled after {rounds} rounds")
     return state.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("value")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("value")).otherwise(0.0)).alias("distrust"),
     )
 
 
-def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", ratio: float = DISTRUST_RATIO, rounds: int = ROUNDS) -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", ratio: float = DISTRUST_RATIO, rounds: int = MOST_ROUNDS) -> DataFrame:
     """One row per input row: page_id, host, path, rule, trust, distrust, verdict.
 
     A rule that fits decides; the longest wins. Every other page gets its host's verdict: the seeds are the hosts of the

@@ -242,6 +242,25 @@ def test_propagation(spark):
     assert got["s"].distrust == pytest.approx(0.1275) and got["s"].trust == 0
 
 
+def test_propagation_converges(spark):
+    names = [f"h{i}" for i in range(14)]
+    links = [(i, i + 1, 1.0) for i in range(13)] + [(i + 1, i, 2.0) for i in range(13)] + [(0, 5, 1.0)]
+    edges = spark.createDataFrame([(names[a], names[b], w) for a, b, w in links], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("h0", 3.0, 0.0), ("h2", 1.0, 0.0), ("h13", 0.0, 2.0)], "host string, trust double, distrust double")
+    m = np.zeros((14, 14))
+    for a, b, w in links:
+        m[a, b] = w
+    want = {}
+    for kind, step, seed in (("trust", m, {0: 0.75, 2: 0.25}), ("distrust", m.T, {13: 1.0})):
+        s = np.array([seed.get(i, 0.0) for i in range(14)])
+        want[kind] = np.linalg.solve(np.eye(14) - 0.85 * (step / step.sum(1, keepdims=True)).T, 0.15 * s)
+    got = {r.host: r for r in url_filter.propagate(edges, seeds).collect()}
+    for i, n in enumerate(names):
+        assert got[n].trust == pytest.approx(want["trust"][i], abs=2e-6) and got[n].distrust == pytest.approx(want["distrust"][i], abs=2e-6)
+    with pytest.raises(RuntimeError):
+        url_filter.propagate(edges, seeds, rounds=8)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as P
 
