@@ -205,6 +205,25 @@ def test_pii(docs, empty, spark, sf_dir):
     assert pii.redacted("a b c d", [("x", 0, 3), ("y", 2, 5)]) == "<X> d"
 
 
+def test_pii_whole_runs(spark):
+    import time
+
+    key, late = "k3" * 200, "x" * 60 + "/" + "y" * 60 + "7"
+    cases = {f"token={key}": ("secret", 6, 406), f"see {key} there": ("secret", 4, 404), f"a {late}": ("secret", 2, 124), "password: hunterhunter": ("secret", 10, 22)}
+    cases |= {"call " + "555-" * 20 + "5 now": ("number", 5, 86), "x" * 90 + "@" + "y" * 130: ("contact", 0, 221)}
+    every = pii.Trees([], 20.0, 0.5)
+    for text, span in cases.items():
+        assert span in pii.candidates(text) and pii.worth(text), text
+        assert text[span[1] : span[2]] not in pii.redacted(text, sum(pii.all_spans(text, every), []))
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    for r in pii.redact_column(got, every).collect():
+        assert "k3" not in r.text and "hunter" not in r.text and "y" not in r.text
+    for piece in ("a-", "/", "x", "1", "1 ", "( ", "1(", "@", "a@", "token=", "pwd:a "):
+        begin = time.perf_counter()
+        pii.candidates(piece * (200_000 // len(piece)))
+        assert time.perf_counter() - begin < 5, piece
+
+
 def test_paragraphs(docs, empty, spark, sf_dir):
     d = small(spark, sf_dir)
     sets, places = {}, {}
