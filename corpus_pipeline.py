@@ -15,10 +15,12 @@ from corpusloom.plans.session import ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose language is unknown or ambiguous; lang becomes the predicted language."""
+    """Without the documents whose language is unknown or ambiguous; lang becomes the predicted language.
+
+    Every row is decided by its own text: null and repeated ids are rows like any other.
+    """
     ship(spark)
-    found = langid.predict(docs, langid.fit(docs)).filter(~F.col("ambiguous")).select("doc_id", F.col("lang_pred").alias("_lang"))
-    return docs.join(found.dropDuplicates(["doc_id"]), "doc_id").withColumn("lang", F.col("_lang")).select(docs.columns)
+    return langid.keep_clear(docs, langid.fit(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

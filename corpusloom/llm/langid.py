@@ -131,6 +131,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model([x for x, _ in found], code, weights, trust / trust.sum(1, keepdims=True) if code.shape[1] else trust)
 
 
+def _decided(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray]:
+    """lang_pred and score of every text."""
+    best, score = np.zeros(len(texts), int), np.zeros(len(texts))
+    if model is not None:
+        for at, counts in gram_counts(texts, model.weights.shape[0]):
+            best[at : at + len(counts)], score[at : at + len(counts)] = model.decode(counts)
+    letters = [model is not None and t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()]
+    names = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters, strict=True)]
+    return names, np.where(letters, score, 0.0)
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score, ambiguous.
 
@@ -140,13 +151,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", 8 << 20):
-            best, score = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
-            if model is not None:
-                for at, counts in gram_counts(batch.column(2), model.weights.shape[0]):
-                    best[at : at + len(counts)], score[at : at + len(counts)] = model.decode(counts)
-            letters = [model is not None and t is not None and _LETTER.search(t) is not None for t in batch.column(2).to_pylist()]
-            names = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters, strict=True)]
-            score = np.where(letters, score, 0.0)
+            names, score = _decided(batch.column(2), model)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(score < CLEAR)],
                 ["doc_id", "held_out", "lang_pred", "score", "ambiguous"],
@@ -156,6 +161,19 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
+def keep_clear(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs` whose own text has a clear language, with all columns; lang_col becomes the predicted language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, text_col, 8 << 20):
+            names, score = _decided(batch.column(batch.schema.get_field_index(text_col)), model)
+            at = batch.schema.get_field_index(lang_col)
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(names, batch.schema.field(at).type))
+            yield batch.filter(pa.array(score >= CLEAR))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict(docs, fit(docs))

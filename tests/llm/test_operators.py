@@ -296,3 +296,17 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in d.collect()} == {i for i, c in near.items() if i == c}
     assert d.filter(F.col("text").rlike(r"@mail[0-9]")).count() == 0
     assert P.STAGES[-1][1](spark, d, sf_dir).select("doc_id").distinct().count() == d.count()
+
+
+def test_pipeline_language_by_row(spark, sf_dir):
+    import corpus_pipeline as P
+
+    docs = small(spark, sf_dir)
+    some = {r.lang: r.text for r in docs.filter("length(text) > 500").collect()}
+    a, b = sorted(some)[:2]
+    odd = [(None, some[a], b, "s", 1), (None, "", a, "s", 2), (-7, some[a], b, "s", 3), (-7, some[b], None, "s", 4), (-7, "", a, "s", 5), (-7, None, a, "s", 6)]
+    mixed = docs.union(spark.createDataFrame(odd, docs.schema))
+    got = P.language_id(spark, mixed, sf_dir)
+    assert got.schema == docs.schema
+    found = got.filter("doc_id IS NULL OR doc_id = -7").collect()
+    assert sorted((r.doc_id or 0, r.lang, r.text) for r in found) == sorted([(0, a, some[a]), (-7, a, some[a]), (-7, b, some[b])])
