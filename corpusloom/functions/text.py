@@ -44,9 +44,13 @@ def contains_cjk(text: Column) -> Column:
 def char_ngrams(text: Column, least: int = 1, most: int = 3) -> Column:
     low = F.lower(F.regexp_replace(text, "[ \t 　]+", " "))
 
+    chars = F.split(low, "")
+
     def of(n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
-        return F.when(F.length(low) >= n, grams).otherwise(F.array().cast("array<string>"))
+        grams = chars
+        for k in range(1, n):
+            grams = F.zip_with(grams, F.slice(chars, k + 1, F.greatest(F.size(chars) - k, F.lit(0))), lambda x, y: F.concat(x, y))
+        return F.when(F.length(low) >= n, F.slice(grams, 1, F.greatest(F.size(chars) - n + 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
 
     return F.concat(*[of(n) for n in range(least, most + 1)])
 

@@ -39,13 +39,22 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= times)
 
 
+def is_page_number(line: Column) -> Column:
+    return line.rlike(PAGE_NUMBER) & (F.length(line) <= 12) & (line != "")
+
+
+def page_numbers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, pos, line: the lines outside fences that are page numbers."""
+    rows = lines_of(docs, id_col, text_col).filter(~F.col("fenced")).select("doc_id", "pos", F.trim("line").alias("line"))
+    return rows.filter(is_page_number(F.col("line")))
+
+
 def cleaned_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """lines_of with dropped: repeated short lines and page numbers outside fences."""
     rows = lines_of(docs, id_col, text_col)
     line = F.trim("line")
     times = F.count(F.when((F.length(line) > 0) & (F.length(line) <= 40) & ~line.rlike(KEPT_LINE), 1)).over(Window.partitionBy("doc_id", line))
-    page = line.rlike(PAGE_NUMBER) & (F.length(line) <= 12) & (line != "")
-    return rows.withColumn("dropped", ~F.col("fenced") & ((times >= 3) | page))
+    return rows.withColumn("dropped", ~F.col("fenced") & ((times >= 3) | is_page_number(line)))
 
 
 def merge_wrapped(lines: Column) -> Column:
@@ -82,6 +91,13 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cha
     return docs.select(F.col(id_col).alias("doc_id"), F.length(text_col).alias("n_chars")).join(found, "doc_id", "left").na.fill({"simhash": 0})
 
 
+def simhash_bands(hashes: DataFrame, bands: int = 4) -> DataFrame:
+    """doc_id, band, value: the hash in `bands` slices, from its lowest bits."""
+    width = 64 // bands
+    value = lambda i: F.shiftrightunsigned("simhash", i * width).bitwiseAND(F.lit((1 << width) - 1))
+    return hashes.select("doc_id", F.posexplode(F.array(*[value(i) for i in range(bands)])).alias("band", "value"))
+
+
 def near_classes(hashes: DataFrame, distance: int = 3, tolerance: float = 0.02) -> tuple[DataFrame, DataFrame]:
     """The classes of equal (simhash, n_chars) with their smallest id as doc_id; and a, b (a < b), distance of near classes."""
     bands = max(4, distance + 1)

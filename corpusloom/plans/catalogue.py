@@ -336,7 +336,22 @@ def _features(t) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def hash_embed_sparse(t):
-    return I.hash_features(t("benchmark"), "item_id").withColumn("value", F.round("value", 6))
+    return I.hash_features(t("documents")).withColumn("value", F.round("value", 6))
+
+
+@query()
+def doc_sentences(t):
+    return t("documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("n"))
+
+
+@query()
+def clean_page_numbers(t):
+    return D.page_numbers(t("documents"))
+
+
+@query()
+def simhash_bands(t):
+    return D.simhash_bands(D.simhash(t("documents")))
 
 
 @query()

@@ -1,6 +1,7 @@
 """The catalogue's queries against DuckDB, and functions and sources on hand-made cases."""
 
 import hashlib
+import re
 
 import duckdb
 import pytest
@@ -96,6 +97,20 @@ def test_simhash_of_characters(spark):
     assert got == {1: votes("!?!"), 2: 0, 3: 0, 4: votes("the")}
 
 
+def test_documents_by_brute_force(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    ends = re.compile("[^。！？!?…；;\n]*(?:[。！？!?…；;\n][”’」』）)\\]\"']*|$)")
+    got = {r.doc_id: r.n for r in QUERIES["doc_sentences"](spark, sf_dir).collect()}
+    assert got == {i: sum(1 for m in ends.finditer(t) if m[0].strip()) for i, t in docs.items()}
+    assert any(re.search("[!?;]", t) for t in docs.values())
+    hashes = {r.doc_id: r.simhash % (1 << 64) for r in QUERIES["doc_simhash"](spark, sf_dir).collect()}
+    got = {(r.doc_id, r.band): r.value for r in QUERIES["simhash_bands"](spark, sf_dir).collect()}
+    assert got == {(i, b): h >> 16 * b & 65535 for i, h in hashes.items() for b in range(4)}
+    hand = spark.createDataFrame([(1, "a\n 3/9 \n- 12 -\n```\n4\n```\n12345"), (2, None)], "doc_id long, text string")
+    assert [(r.pos, r.line) for r in D.page_numbers(hand).orderBy("pos").collect()] == [(1, "3/9"), (2, "- 12 -")]
+    assert QUERIES["hash_embed_sparse"](spark, sf_dir).select("id").distinct().count() > 100
+
+
 def test_chunks_are_slices(spark):
     text = "一句。" * 300 + "\n\n" + "x" * 700 + "\nend"
     docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
