@@ -1,171 +1,226 @@
-"""Repeated paragraphs across documents by MinHash banding, exact Jaccard and components."""
+"""Repeated passages across documents: content-defined paragraphs, MinHash banding, exact Jaccard and components."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import maybe_among, steps, stored, table
-from .graph import bucket_components
-from .textops import mix, utf8, words
+from .graph import components
+from .textops import mix, sliding_min, utf8, words
 
 SHINGLE = 5
 PERCENT = 80
-#: Bands x rows: two paragraphs of similarity 0.8 share a band with probability 1 - (1 - 0.8^4)^12 = 0.998.
-BANDS, ROWS = 12, 4
-#: Shorter paragraphs are no passages.
-LEAST_WORDS = 20
-
-
-def paragraphs(texts: pa.Array, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Of the lines of at least `least` words: text number, start and length in characters, the line, and of all its
-    lower-cased words the hashes, one line after the other, with the number per line."""
-    raw, bounds = utf8(texts)
-    brk = np.zeros(len(raw) + 1, bool)
-    brk[bounds] = True
-    brk[1:] |= np.concatenate((raw == 10,)) if len(raw) else False
-    starts = np.flatnonzero(brk[:-1]) if len(raw) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(raw))[: len(starts)]
-    ends = ends - ((ends > starts) & (raw[np.maximum(ends - 1, 0)] == 10)) if len(starts) else ends
-    offsets = np.empty(2 * len(starts), np.int64)
-    offsets[0::2], offsets[1::2] = starts, ends
-    # Every second piece is a line, the others are the line breaks.
-    cells = pa.LargeStringArray.from_buffers(2 * len(starts), pa.py_buffer(np.append(offsets, len(raw))), pa.py_buffer(np.ascontiguousarray(raw)))
-    lines = cells.take(pa.array(np.arange(0, 2 * len(starts), 2)))
-    w = words(lines, lower=True)
+#: Words of a paragraph, and of neighbouring places of which one at least starts a paragraph. Two texts that share
+#: PARAGRAPH + REACH - 1 = 50 words in a row thus share a whole paragraph, wherever the passage and its lines begin.
+PARAGRAPH, REACH = 26, 25
+#: Bands x rows: two paragraphs of similarity 0.8 share a band with probability 1 - (1 - 0.8^2)^4 = 0.983. Different
+#: paragraphs without repeated shingles share at least 20 of 24 shingles if they link, which makes it 0.991.
+BANDS, ROWS = 4, 2
+#: Bits of the map of shared keys, in words of 64; it only spares shuffling the others.
+MAP_WORDS = 1 << 17
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
+@dataclass
+class Paragraphs:
+    text: np.ndarray  #: number of the text
+    word: np.ndarray  #: number of the first word in the text
+    start: np.ndarray  #: first character in the text
+    stop: np.ndarray  #: character after the last
+    node: np.ndarray  #: hash of all words
+    first: np.ndarray  #: number of the first shingle in `shingles`
+    shingles: np.ndarray  #: hashes of the five-word shingles that start at each word of all texts
+
+
+def paragraphs(texts: pa.Array) -> Paragraphs:
+    """The paragraphs of all texts: PARAGRAPH lower-cased words from each chosen word on, whatever white space parts them.
+
+    Of every REACH neighbouring words that can start a paragraph, the one is chosen whose three-word hash is least, of
+    equal ones the first. The choice depends on these words only, so that equal passages are cut alike. A text with fewer
+    such words, but one at least, has one paragraph; a text of fewer than PARAGRAPH words has none.
+    """
+    w = words(texts, lower=True)
     own = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in w.distinct.to_pylist()), np.uint64, len(w.distinct))
-    chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-    text = np.searchsorted(bounds, starts, side="right") - 1
-    take = np.flatnonzero(w.per_text >= least)
-    keep = np.repeat(w.per_text >= least, w.per_text)
-    hashes = (own[w.codes] if len(own) else np.zeros(0, np.uint64))[keep]
-    begin = chars[starts[take]]
-    return text[take], begin - chars[bounds[text[take]]], chars[ends[take]] - begin, lines.take(pa.array(take)), hashes, w.per_text[take]
-
-
-def shingled(hashes: np.ndarray, per_line: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-word shingles of all lines, and where each line's begin; every line has at least k words."""
-    ends = np.cumsum(per_line)
+    h = own[w.codes] if len(own) else np.zeros(0, np.uint64)
+    ends = w.ends.astype(np.int64)
+    places = w.per_text - PARAGRAPH + 1
+    fit = places > 0
+    none = np.zeros(0, np.int64)
+    if not fit.any():
+        return Paragraphs(none, none, none, none, none, none, np.zeros(0, np.uint64))
+    with np.errstate(over="ignore"):
+        grams = mix(h[:-2] * _A + h[1:-1] * _B + h[2:] * _C)
+        shingles = np.zeros(len(h) - SHINGLE + 1, np.uint64)
+        for i in range(SHINGLE):
+            shingles = mix(shingles + h[i : len(h) - SHINGLE + 1 + i] * np.uint64(0x9E3779B97F4A7C15 + 2 * i))
+    begins = (ends - w.per_text)[fit]
+    places = places[fit]
+    low = np.uint64(0xFFFFFF)
+    order = (grams & ~low) | (np.arange(len(grams), dtype=np.uint64) & low)
+    usable = np.zeros(len(h) + 1, np.int8)
+    usable[begins] += 1
+    usable[begins + places] -= 1
+    order[np.cumsum(usable)[: len(order)] == 0] = ~np.uint64(0)
+    order = np.concatenate((order, np.full(REACH, ~np.uint64(0))))
+    least = sliding_min(order, REACH)
+    turns = np.maximum(places - REACH, 0) + 1
+    at = np.repeat(begins - (np.cumsum(turns) - turns), turns) + np.arange(int(turns.sum()))
+    chosen = at + ((least[at] - at.astype(np.uint64)) & low).astype(np.int64)
+    chosen = chosen[np.concatenate(([True], chosen[1:] != chosen[:-1]))]
     with np.errstate(over="ignore"):
-        full = np.zeros(max(0, len(hashes) - k + 1), np.uint64)
-        for i in range(k):
-            full = mix(full + hashes[i : len(hashes) - k + 1 + i] * np.uint64(0x9E3779B97F4A7C15 + 2 * i))
-    inside = np.ones(len(full), bool)
-    for i in range(1, k):
-        last = ends[:-1] - i
-        inside[last[(last >= 0) & (last < len(full))]] = False
-    return full[inside], np.cumsum(per_line - k + 1) - (per_line - k + 1)
-
-
-def band_keys(shingles: np.ndarray, begins: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """lines x bands: a hash of `rows` minima each."""
-    out = np.zeros((len(begins), bands), np.uint64)
-    if len(begins):
+        node = np.zeros(len(chosen), np.uint64)
+        for i in range(PARAGRAPH):
+            node = mix(node * _B + h[chosen + i])
+    raw, bounds = utf8(texts)
+    chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    text = np.searchsorted(ends, chosen, side="right")
+    base = chars[bounds[text]]
+    return Paragraphs(text, chosen - (ends - w.per_text)[text], chars[w.starts[chosen]] - base, chars[w.stops[chosen + PARAGRAPH - 1]] - base, node.view(np.int64), chosen, shingles)
+
+
+def band_keys(p: Paragraphs) -> np.ndarray:
+    """paragraphs x BANDS: a hash of ROWS minima over the paragraph's shingles each."""
+    out = np.zeros((len(p.first), BANDS), np.uint64)
+    if len(p.first):
+        n = PARAGRAPH - SHINGLE + 1
+        padded = np.append(p.shingles, ~np.uint64(0))
+        edges = np.stack((p.first, p.first + n), 1).ravel()
         with np.errstate(over="ignore"):
-            for b in range(bands):
-                key = np.full(len(begins), b + 1, np.uint64)
-                for r in range(rows):
-                    f = (shingles ^ np.uint64(0xA24BAED4963EE407 * (b * rows + r + 1) % 2**64)) * np.uint64(0x9FB21C651E98DF25)
-                    key = mix(key * np.uint64(31) + np.minimum.reduceat(f ^ (f >> np.uint64(29)), begins))
+            for b in range(BANDS):
+                key = np.full(len(p.first), b + 1, np.uint64)
+                for r in range(ROWS):
+                    f = (padded ^ np.uint64(0xA24BAED4963EE407 * (b * ROWS + r + 1) % 2**64)) * np.uint64(0x9FB21C651E98DF25)
+                    f ^= f >> np.uint64(29)
+                    key = mix(key * np.uint64(31) + np.minimum.reduceat(f, edges)[0::2])
                 out[:, b] = key
-    return out
-
-
-def repeated_paragraphs(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, percent: int = PERCENT
-) -> DataFrame:
-    """One row per paragraph to remove: doc_id, paragraph, start, length, n_words, keep_doc_id, keep_paragraph.
-
-    A paragraph is a line of at least `least_words` words; `paragraph` numbers a document's such lines from 0, start and
-    length are in characters. Paragraphs with the same lower-cased words are one node. Nodes with a MinHash band in
-    common are candidates; two link if the Jaccard similarity of their sets of five-word shingles, computed exactly, is
-    at least `percent` / 100. Of every component the first paragraph, by doc_id and then place, stays, and all others are
-    returned, also repeats within a document. Bands find 0.998 of the pairs at similarity 0.8 and more above.
-
-    Null and empty texts have no paragraphs. Rows with a null id are left out, as nothing could refer to them. Rows that
-    repeat an id count as copies of one another. Other columns are ignored.
+    return out.view(np.int64)
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in steps(batches):
+        p = paragraphs(batch.column(1))
+        keys = band_keys(p)
+        ints = [pa.array(x, pa.int32()) for x in (p.word, p.start, p.stop)]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(p.node) + 1) * BANDS, BANDS), pa.int32()), pa.array(keys.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(p.text)), *ints, pa.array(p.node), lists], ["doc_id", "word", "start", "stop", "node", "keys"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, wanted nodes -> node, its place, its distinct shingles."""
+    for batch in steps(batches):
+        p = paragraphs(batch.column(1))
+        lists = batch.column(2)
+        wanted = np.asarray(lists.flatten())
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+        asked = set(zip(owner.tolist(), wanted.tolist(), strict=True))
+        take = []
+        for i, pair in enumerate(zip(p.text.tolist(), p.node.tolist(), strict=True)):
+            if pair in asked:
+                asked.discard(pair)
+                take.append(i)
+        sets = [np.unique(p.shingles[a : a + PARAGRAPH - SHINGLE + 1]).view(np.int64) for a in p.first[take].tolist()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(p.node[take]), batch.column(0).take(pa.array(p.text[take])), pa.array(p.word[take], pa.int32()), pa.array(sets, pa.list_(pa.int64()))],
+            ["node", "doc_id", "word", "tokens"],
+        )
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with a Jaccard similarity of percent / 100, by whole sets; overlapping places of one text are no pair."""
+    x = sets.select(F.col("node").alias("a"), F.col("doc_id").alias("x_doc"), F.col("word").alias("x_word"), F.col("tokens").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("doc_id").alias("y_doc"), F.col("word").alias("y_word"), F.col("tokens").alias("y"))
+    same = F.size(F.array_intersect("x", "y"))
+    apart = (F.col("x_doc") != F.col("y_doc")) | (F.abs(F.col("x_word") - F.col("y_word")) >= PARAGRAPH)
+    return pairs.join(x, "a").join(y, "b").filter(apart & (100 * same >= percent * (F.size("x") + F.size("y") - same))).select("a", "b")
+
+
+def _rarest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, token: the prefix of each set in order of frequency among these sets; sets that link share one of its tokens."""
+    tokens = sets.join(nodes, "node", "left_semi").select("node", F.explode("tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    ranked = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("t"))
+    short = F.size("t") - F.ceil(F.size("t") * percent / 100).cast("int") + 1
+    return ranked.select("node", F.explode(F.slice("t", 1, short)).alias("t")).select("node", "t.token")
+
+
+def classes(parts: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """node, component of the different paragraphs that are linked.
+
+    Paragraphs that share a band are candidates. Each is first tried against the smallest one of its bands, and what
+    links is contracted, which settles groups in which most link. Under each key that still holds different components,
+    only those are paired that also share one of the rarest shingles of each, which all that link do: paragraphs that
+    were edited in different places share a band, but not their rare shingles.
+    """
+    keys = parts.select("node", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key", "lo")
+    shared = stored(shared)
+    live = stored(maybe_among(keys, "key", shared, MAP_WORDS).join(shared, "key").select("key", "node", "lo").distinct())
+    active = live.select("node").distinct()
+    where = maybe_among(parts.select("doc_id", "node"), "node", active, MAP_WORDS).join(active, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = stored(where.groupBy("doc_id").agg(F.collect_list("node").alias("wanted")))
+    found = maybe_among(texts, "doc_id", wanted).join(wanted, "doc_id").select("doc_id", "text", "wanted")
+    sets = stored(found.mapInArrow(_sets, "node long, doc_id long, word int, tokens array<long>").dropDuplicates(["node"]))
+    stars = live.groupBy("node").agg(F.min("lo").alias("lo")).filter("lo <> node").select(F.col("lo").alias("a"), F.col("node").alias("b"))
+    links = stored(_linked(stars, sets, percent))
+    now = live.select("key", "node").join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    left = stored(now.join(mixed, "key"))
+    left = stored(left.join(_rarest(left.select("node").distinct(), sets, percent), "node"))
+    pairs = left.alias("x").join(left.alias("y"), F.expr("x.key = y.key AND x.token = y.token AND x.node < y.node AND x.comp <> y.comp"))
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return components(links.union(stored(_linked(pairs, sets, percent))))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per repeated passage: doc_id, start, length, n_words, removed, keep_doc_id, components.
+
+    Texts are cut into content-defined paragraphs of PARAGRAPH words (see `paragraphs`), so that a passage of 50 words or
+    more is found wherever it stands and however its lines are broken. Paragraphs with the same lower-cased words are one
+    node. Nodes with a MinHash band in common are candidates; two link if the Jaccard similarity of their sets of
+    five-word shingles, computed exactly, is at least `percent` / 100. Of every component the first paragraph, by doc_id
+    and then place, stays; all others are removed, also repeats within a document, unless they overlap the one that
+    stays. Paragraphs of a document that overlap or touch, and are all removed or all stay, make one passage; start and
+    length are in characters. keep_doc_id is the smallest document in which a paragraph of the passage stays,
+    components are those of its paragraphs. Rows with removed = false show the passages that stay.
+
+    Nodes are told apart by 64 bits of hash. Null, empty and shorter texts have no paragraphs. Rows with a null id are
+    left out, as nothing could refer to them. Rows that repeat an id are texts of their own, copies of one another if
+    equal; passages under one id are merged only where they are in one place. Other columns are ignored.
     """
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, paragraph int, start long, length long, n_words long, node binary, keys array<long>"
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            text, start, length, lines, hashes, n = paragraphs(batch.column(1), least_words)
-            begins = np.cumsum(n) - n
-            nodes = [blake2b(hashes[b : b + k].tobytes(), digest_size=16).digest() for b, k in zip(begins.tolist(), n.tolist(), strict=True)]
-            number = np.arange(len(text)) - np.searchsorted(text, text)
-            keys = band_keys(*shingled(hashes, n, SHINGLE)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(text)),
-                    pa.array(number, pa.int32()),
-                    pa.array(start, pa.int64()),
-                    pa.array(length, pa.int64()),
-                    pa.array(n, pa.int64()),
-                    pa.array(nodes, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, (len(n) + 1) * BANDS, BANDS), pa.int32()), pa.array(keys.ravel())),
-                ],
-                ["doc_id", "paragraph", "start", "length", "n_words", "node", "keys"],
-            )
-
-    parts = stored(texts.mapInArrow(split, schema))
-    place = F.struct("doc_id", "paragraph", "start", "length")
-    band = [F.min(F.col("keys")[i]).alias(f"k{i}") for i in range(BANDS)]
-    nodes = parts.groupBy("node").agg(F.min(place).alias("first_at"), F.min("n_words").alias("n"), F.count(F.lit(1)).alias("copies"), *band)
-    nodes = stored(nodes.select("node", "first_at", "n", "copies", F.array(*[f"k{i}" for i in range(BANDS)]).alias("keys")))
-    keys = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    live = stored(keys.join(shared, "key"))
-    active = nodes.join(live.select("node").distinct(), "node", "left_semi")
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            ids, lines = [], []
-            for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids += [x["node"] for x in own]
-                lines += [text[x["start"] : x["start"] + x["length"]] for x in own]
-            w = words(pa.array(lines, pa.large_string()), lower=True)
-            own = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in w.distinct.to_pylist()), np.uint64, len(w.distinct))
-            full, begins = shingled(own[w.codes], w.per_text, SHINGLE)
-            sets = [np.unique(x).tobytes() for x in np.split(full, begins[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], ["node", "tokens"])
-
-    @F.pandas_udf("boolean")
-    def close(left: pd.Series, right: pd.Series) -> pd.Series:
-        def one(x: bytes, y: bytes) -> bool:
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            same = len(np.intersect1d(x, y, assume_unique=True))
-            return 100 * same >= percent * (len(x) + len(y) - same)
-
-        return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype=bool)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs)
-        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = stored(nodes.select("node", "first_at").join(ids, "node", "left_semi").select(F.col("first_at.doc_id").alias("doc_id"), "node", "first_at"))
-        lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("node", "first_at.start", "first_at.length")).alias("wanted"))
-        sets = maybe_among(texts, "doc_id", wanted).join(lists, "doc_id").select("text", "wanted")
-        sets = stored(sets.mapInArrow(cut, "node binary, tokens binary").dropDuplicates(["node"]))
-        left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
-        right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
-        return pairs.join(left, "a").join(right, "b").filter(close("left", "right")).select("a", "b")
-
-    marks = active.select("node", F.struct("n").alias("m"))
-    comp = bucket_components(live, marks, "true", verify)
-    found = nodes.select("node", "first_at", "copies").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = found.groupBy("component").agg(F.min("first_at").alias("keep"), F.sum("copies").alias("c")).filter("c > 1").drop("c")
-    keep = found.select("node", "component").join(first, "component").select("node", "keep")
-    rows = parts.drop("keys").join(keep, "node").filter(~((F.col("doc_id") == F.col("keep.doc_id")) & (F.col("paragraph") == F.col("keep.paragraph"))))
-    return rows.select(
-        "doc_id", "paragraph", "start", "length", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph")
+    parts = stored(texts.mapInArrow(_split, "doc_id long, word int, start int, stop int, node long, keys array<long>"))
+    comp = stored(classes(parts, texts, percent))
+    again = parts.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("node")
+    hot = stored(again.join(comp, "node", "full").select("node", F.coalesce("component", "node").alias("component")))
+    rows = maybe_among(parts.drop("keys"), "node", hot, MAP_WORDS).join(hot, "node").select("doc_id", "word", "start", "stop", "component")
+    rows = stored(rows)
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "word")).alias("keep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    rows = rows.join(first, "component")
+    same = (F.col("doc_id") == F.col("keep.doc_id")) & (F.col("word") < F.col("keep.word") + PARAGRAPH)
+    rows = rows.select("doc_id", "word", "start", "stop", "component", F.col("keep.doc_id").alias("keep"), (~same).alias("removed"))
+    # A class whose paragraphs all overlap the one that stays repeats nothing.
+    real = rows.groupBy("component").agg(F.bool_or("removed").alias("any")).filter("any").select("component")
+    rows = rows.join(real, "component", "left_semi")
+    order = Window.partitionBy("doc_id", "removed").orderBy("word", "start")
+    before = F.max("word").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("word") > before + PARAGRAPH, F.lit(True)).cast("int")
+    rows = rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
+    merged = rows.groupBy("doc_id", "removed", "run").agg(
+        F.min("start").alias("start"),
+        (F.max("stop") - F.min("start")).cast("long").alias("length"),
+        (F.max("word") - F.min("word") + PARAGRAPH).cast("long").alias("n_words"),
+        F.min("keep").alias("keep_doc_id"),
+        F.sort_array(F.collect_set("component")).alias("components"),
     )
+    return merged.select("doc_id", F.col("start").cast("long").alias("start"), "length", "n_words", "removed", "keep_doc_id", "components")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents"))

@@ -18,6 +18,8 @@ class Words:
     codes: np.ndarray  #: of each word, in order
     per_text: np.ndarray  #: number of words of each text
     distinct: pa.BinaryArray  #: the word of each code
+    starts: np.ndarray  #: byte at which each word starts
+    stops: np.ndarray  #: byte after each word's last one
 
     @property
     def ends(self) -> np.ndarray:
@@ -51,7 +53,7 @@ def coded(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndar
     pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(packed))])
     found = pieces.dictionary_encode()
     per_text = np.diff(np.searchsorted(starts, bounds))
-    return Words(found.indices.to_numpy(zero_copy_only=False), per_text, found.dictionary)
+    return Words(found.indices.to_numpy(zero_copy_only=False), per_text, found.dictionary, starts, ends)
 
 
 #: What a byte is at the edge of a word: 1 an ASCII letter, 2 ASCII punctuation other than an apostrophe.
@@ -106,3 +108,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of every `width` neighbours, by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = np.minimum(x[:-step], x[step:])
+        have += step
+    return x
