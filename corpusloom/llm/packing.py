@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +19,14 @@ from .common import steps, stored, table
 WINDOW = 2048
 #: Tokens that one task packs. A lane is a group of documents chosen by a hash of their ids, so it has a share of every source.
 LANE_TOKENS = 2_000_000
+#: Prefix sums over lanes are taken within blocks of so many lanes, and over the blocks.
+LANES_A_BLOCK = 1000
 #: A queue gives at least so many tokens at a time, or the rest of its document.
 GRAIN = 256
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words whose ids a Python worker remembers, twice.
-REMEMBERED = 300_000
+#: Most words whose ids a Python worker remembers from one batch to the next.
+REMEMBERED = 500_000
 
 
 def tokenizer_path() -> str:
@@ -35,39 +36,64 @@ def tokenizer_path() -> str:
 
 
 class WordIds:
-    """Ids of words by the tokenizers library, which is asked once for a word that this worker remembers.
+    """Ids of words by the tokenizers library, which is asked once for a word of a batch, or of the one before it.
 
     This tokenizer lower-cases, drops white space and joins characters neither across it nor across the border of
     letters and punctuation, so a text's ids are those of its pieces. Where the strings of special tokens may occur,
-    words stay whole. Two generations of the words that occur twice in a batch are kept.
+    words stay whole. Words of Latin-1 letters are encoded many at a time, as the last id of a word is one that ends
+    words; the others one by one.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.known, self.ids, self.lengths = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def _encoded(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all names, and how many each has."""
+        parts, lengths = [np.zeros(0, "<u4")], []
+        for at in range(0, len(names), 20_000):
+            for e in self.library.encode_batch_fast(names[at : at + 20_000], add_special_tokens=False):
+                parts.append(np.array(e.ids, "<u4"))
+                lengths.append(len(parts[-1]))
+        return np.concatenate(parts), np.array(lengths, np.int64)
+
+    def _letters(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, _ = self._encoded([" ".join(names[at : at + 500]) for at in range(0, len(names), 500)])
+        ends = np.flatnonzero(self.last[flat])
+        if len(ends) != len(names):
+            return self._encoded(names)
+        return flat, np.diff(ends, prepend=-1)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
         plain = not pc.any(pc.match_substring(texts, "<|")).as_py()
         w = textops.words(texts, lower=plain, punctuation=plain)
-        names, young, old = w.distinct.cast(pa.large_string()).to_pylist(), self.young, self.old
-        found = [young.get(x) or old.get(x) for x in names]
-        new = [i for i, x in enumerate(found) if x is None]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for i, e in zip(part, self.library.encode_batch_fast([names[i] for i in part], add_special_tokens=False), strict=True):
-                found[i] = array("I", e.ids).tobytes()
-        for i in np.flatnonzero(np.bincount(w.codes, minlength=len(names)) > 1).tolist():
-            if len(young) >= REMEMBERED:
-                self.old, self.young = young, {}
-                young = self.young
-            young[names[i]] = found[i]
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        at, n = textops.spread(w.codes, np.cumsum(lengths) - lengths, lengths)
+        names = w.distinct.cast(pa.large_string())
+        place = pc.fill_null(pc.index_in(names, self.known), -1).to_numpy().astype(np.int64)
+        letters = pc.match_substring_regex(names, "^[a-zA-ZÀ-ÖØ-öø-ÿ]+$").to_numpy(zero_copy_only=False)
+        # The pool holds the ids of known words, then of new words of letters, then of other new words.
+        pools, sizes, known = [self.ids], [self.lengths], len(self.known)
+        for new, encode in ((np.flatnonzero((place < 0) & letters), self._letters), (np.flatnonzero((place < 0) & ~letters), self._encoded)):
+            ids, n = encode(names.take(pa.array(new)).to_pylist())
+            pools.append(ids)
+            sizes.append(n)
+            place[new] = np.arange(known, known + len(new))
+            known += len(new)
+        pool, sizes = np.concatenate(pools), np.concatenate(sizes)
+        starts, lengths = (np.cumsum(sizes) - sizes)[place], sizes[place]
+        at, n = textops.spread(w.codes, starts, lengths)
         ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], w.ends))]
-        return np.frombuffer(b"".join(found), "<u4")[at], np.diff(ends)
+        # Remembered for the next batch: what occurs twice in this one.
+        keep = np.flatnonzero(np.bincount(w.codes, minlength=len(names)) > 1)[:REMEMBERED]
+        self.known, self.lengths = names.take(pa.array(keep)), lengths[keep]
+        self.ids = pool[textops.spread(keep, starts, lengths)[0]]
+        return pool[at], np.diff(ends)
 
 
 def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", end_id: int = END_ID) -> DataFrame:
@@ -172,7 +198,7 @@ def pack(
     lane = F.pmod(F.xxhash64("doc_id", "n_tokens", "source"), F.lit(lanes)).cast("int").alias("lane")
     sums = stored(tokens.groupBy(lane, "source").agg(F.sum("n_tokens").alias("n")))
     # Prefix sums over lanes in two steps, so that no task holds all lanes of a large corpus.
-    per_lane = sums.groupBy("lane").agg(F.sum("n").alias("lane_n")).withColumn("block", F.floor(F.col("lane") / 1000))
+    per_lane = sums.groupBy("lane").agg(F.sum("n").alias("lane_n")).withColumn("block", F.floor(F.col("lane") / LANES_A_BLOCK))
     blocks = per_lane.groupBy("block").agg(F.sum("lane_n").alias("block_n"))
     blocks = blocks.select("block", (F.sum("block_n").over(Window.orderBy("block")) - F.col("block_n")).alias("block_start"))
     inside = F.sum("lane_n").over(Window.partitionBy("block").orderBy("lane")) - F.col("lane_n")
@@ -183,9 +209,17 @@ def pack(
         share = F.col("source_n") / total
     else:
         share = F.coalesce(F.element_at(F.lit(targets), F.col("source")), F.lit(0.0)) / sum(targets.values())
-    given = F.sum("n").over(Window.partitionBy("source").orderBy("lane")) - F.col("n")
+    # Likewise per source: blocks of lanes first, so that a source's lanes don't meet in one task.
+    own = sums.withColumn("block", F.floor(F.col("lane") / LANES_A_BLOCK))
+    own_blocks = own.groupBy("source", "block").agg(F.sum("n").alias("block_n"))
+    own_blocks = own_blocks.select(
+        "source", "block", (F.sum("block_n").over(Window.partitionBy("source").orderBy("block")) - F.col("block_n")).alias("before")
+    )
+    inside = F.sum("n").over(Window.partitionBy("source", "block").orderBy("lane")) - F.col("n")
     state = (
-        sums.withColumn("given", given)
+        own.withColumn("inside", inside)
+        .join(own_blocks, ["source", "block"])
+        .withColumn("given", F.col("before") + F.col("inside"))
         .join(by_source, "source")
         .join(starts, "lane")
         .select("lane", "source", "lane_start", share.alias("share"), (share * F.col("lane_start") - F.col("given")).alias("deficit"))
