@@ -19,10 +19,10 @@ SHINGLE = 5
 PERCENT = 80
 #: Words of a paragraph, and of neighbouring places of which one at least starts a paragraph. Two texts that share
 #: PARAGRAPH + REACH - 1 = 50 words in a row thus share a whole paragraph, wherever the passage and its lines begin.
-PARAGRAPH, REACH = 26, 25
-#: Bands x rows: two paragraphs of similarity 0.8 share a band with probability 1 - (1 - 0.8^2)^4 = 0.983. Different
-#: paragraphs without repeated shingles share at least 20 of 24 shingles if they link, which makes it 0.991.
-BANDS, ROWS = 4, 2
+PARAGRAPH, REACH = 20, 31
+#: Bands x rows: two paragraphs of similarity 0.8 share a band with probability 1 - (1 - 0.8^2)^3 = 0.953. Different
+#: paragraphs without repeated shingles share at least 15 of 17 shingles if they link, which makes it 0.989.
+BANDS, ROWS = 3, 2
 #: Bits of the map of shared keys, in words of 64; it only spares shuffling the others.
 MAP_WORDS = 1 << 17
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -103,13 +103,37 @@ def band_keys(p: Paragraphs) -> np.ndarray:
     return out.view(np.int64)
 
 
+def lead_of(p: Paragraphs, keys: np.ndarray) -> np.ndarray:
+    """paragraphs x BANDS: the number of the first paragraph of a chain that shares the key, each overlapping the one before.
+
+    Paragraphs that overlap share shingles and so often a band; this tells such a key from one that two places share.
+    """
+    lead = np.tile(np.arange(len(keys))[:, None], (1, keys.shape[1]))
+    for step in range(1, PARAGRAPH):
+        a, b = np.arange(len(keys) - step), np.arange(step, len(keys))
+        near = (p.text[a] == p.text[b]) & (p.word[b] < p.word[a] + PARAGRAPH)
+        if not near.any():
+            break
+        for k in range(keys.shape[1]):
+            same = near & (keys[a, k] == keys[b, k])
+            lead[b[same], k] = np.minimum(lead[b[same], k], lead[a[same], k])
+    return lead
+
+
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
         p = paragraphs(batch.column(1))
         keys = band_keys(p)
+        # Of a place, which is a chain of overlapping paragraphs with this key, 31 bits tell it from most others.
+        with np.errstate(over="ignore"):
+            ids = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)
+            places = mix(mix(ids[p.text] + _A) + p.word.astype(np.uint64) * _B) >> np.uint64(33)
+        places = places.astype(np.int32)[lead_of(p, keys)]
         ints = [pa.array(x, pa.int32()) for x in (p.word, p.start, p.stop)]
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(p.node) + 1) * BANDS, BANDS), pa.int32()), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(p.text)), *ints, pa.array(p.node), lists], ["doc_id", "word", "start", "stop", "node", "keys"])
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, (len(p.node) + 1) * BANDS, BANDS), pa.int32()), pa.array(x.ravel())) for x in (keys, places)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(p.text)), *ints, pa.array(p.node), *lists], ["doc_id", "word", "start", "stop", "node", "keys", "places"]
+        )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,18 +174,16 @@ def _rarest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ranked.select("node", F.explode(F.slice("t", 1, short)).alias("t")).select("node", "t.token")
 
 
-def classes(parts: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """node, component of the different paragraphs that are linked.
+def classes(parts: DataFrame, live: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """node, component of the different paragraphs that are linked; live: key, node of the keys that several places share.
 
     Paragraphs that share a band are candidates. Each is first tried against the smallest one of its bands, and what
     links is contracted, which settles groups in which most link. Under each key that still holds different components,
     only those are paired that also share one of the rarest shingles of each, which all that link do: paragraphs that
     were edited in different places share a band, but not their rare shingles.
     """
-    keys = parts.select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key", "lo")
-    shared = stored(shared)
-    live = stored(maybe_among(keys, "key", shared, MAP_WORDS).join(shared, "key").select("key", "node", "lo").distinct())
+    shared = live.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key", "lo")
+    live = stored(live.join(shared, "key"))
     active = live.select("node").distinct()
     where = maybe_among(parts.select("doc_id", "node"), "node", active, MAP_WORDS).join(active, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = stored(where.groupBy("doc_id").agg(F.collect_list("node").alias("wanted")))
@@ -195,12 +217,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     equal; passages under one id are merged only where they are in one place. Other columns are ignored.
     """
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = stored(texts.mapInArrow(_split, "doc_id long, word int, start int, stop int, node long, keys array<long>"))
-    comp = stored(classes(parts, texts, percent))
-    again = parts.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("node")
-    hot = stored(again.join(comp, "node", "full").select("node", F.coalesce("component", "node").alias("component")))
-    rows = maybe_among(parts.drop("keys"), "node", hot, MAP_WORDS).join(hot, "node").select("doc_id", "word", "start", "stop", "component")
-    rows = stored(rows)
+    parts = stored(texts.mapInArrow(_split, "doc_id long, word int, start int, stop int, node long, keys array<long>, places array<int>"))
+    spots = parts.select(F.explode(F.arrays_zip("keys", "places")).alias("x")).groupBy(F.col("x.keys").alias("key"))
+    spots = stored(spots.agg(F.min("x.places").alias("lo"), F.max("x.places").alias("hi")).filter("lo <> hi").select("key"))
+    keys = maybe_among(parts.select("node", F.explode("keys").alias("key")), "key", spots, MAP_WORDS)
+    live = stored(keys.join(spots, "key").select("key", "node").distinct())
+    comp = classes(parts, live, texts, percent)
+    hot = live.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    rows = maybe_among(parts.drop("keys", "places"), "node", live.select("node"), MAP_WORDS).join(hot, "node")
+    rows = stored(rows.select("doc_id", "word", "start", "stop", "component"))
     first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "word")).alias("keep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     rows = rows.join(first, "component")
     same = (F.col("doc_id") == F.col("keep.doc_id")) & (F.col("word") < F.col("keep.word") + PARAGRAPH)

@@ -226,13 +226,16 @@ def test_pii_whole_runs(spark):
         assert time.perf_counter() - begin < 5, piece
 
 
+P = substring_dedup.PARAGRAPH
+
+
 def passages_by_hand(texts, paragraphs):
     """Classes of paragraphs by all pairs that share a shingle; the passages that are removed or stay, as sets of word numbers."""
     places = collections.defaultdict(list)
     for i, text in texts.items():
         low = WORD.findall("".join(c.lower() if c < "\x80" else c for c in text or ""))
         for at in paragraphs.get(i, []):
-            places[tuple(low[at : at + 26])].append((i, at))
+            places[tuple(low[at : at + P])].append((i, at))
     nodes = sorted(places)
     sets = {n: frozenset(zip(*(w[k:] for k in range(5)))) for n, w in enumerate(nodes)}
     found = collections.defaultdict(list)
@@ -241,9 +244,9 @@ def passages_by_hand(texts, paragraphs):
     out = {True: set(), False: set()}
     for own in found.values():
         keep = min(own)
-        gone = [x for x in own if x[0] != keep[0] or x[1] >= keep[1] + 26]
+        gone = [x for x in own if x[0] != keep[0] or x[1] >= keep[1] + P]
         for i, at in own if gone else []:
-            out[(i, at) in gone] |= {(i, at + k) for k in range(26)}
+            out[(i, at) in gone] |= {(i, at + k) for k in range(P)}
     return out
 
 
@@ -279,11 +282,11 @@ def test_spliced_and_wrapped_passages(spark):
         before, after = ([word() for _ in range(rng.integers(0, 120))] for _ in range(2))
         text = before + [w.upper() if i % 3 == 0 else w for w in shared] + after
         rows.append((i, " ".join(text) if i % 2 else "\n".join(" ".join(text[k : k + 15]) for k in range(0, len(text), 15))))
-    rows += [(100 + i, " ".join(word() for _ in range(200))) for i in range(20)] + [(200, " ".join(shared[:20])), (None, " ".join(shared))]
+    rows += [(100 + i, " ".join(word() for _ in range(200))) for i in range(20)] + [(200, " ".join(shared[:19])), (None, " ".join(shared))]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = substring_dedup.repeated_passages(table).collect()
     assert {r.doc_id for r in got if r.removed} == set(range(1, 40)) and {r.doc_id for r in got} == set(range(40))
-    assert all(26 <= r.n_words <= 56 and r.keep_doc_id <= r.doc_id for r in got)  # paragraphs that reach over an edge by two words link, too
+    assert all(P <= r.n_words <= 56 and r.keep_doc_id <= r.doc_id for r in got)  # paragraphs that reach over an edge by two words link, too
 
 
 def test_edited_copies_make_few_pairs(spark):
