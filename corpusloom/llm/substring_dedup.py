@@ -124,11 +124,12 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
         p = paragraphs(batch.column(1))
         keys = band_keys(p)
-        # Of a place, which is a chain of overlapping paragraphs with this key, 31 bits tell it from most others.
+        # A place is PARAGRAPH words of a chain of overlapping paragraphs with this key; 31 bits tell it from most others.
         with np.errstate(over="ignore"):
             ids = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)
-            places = mix(mix(ids[p.text] + _A) + p.word.astype(np.uint64) * _B) >> np.uint64(33)
-        places = places.astype(np.int32)[lead_of(p, keys)]
+            lead = lead_of(p, keys)
+            own = mix(ids[p.text] + _A) + p.word.astype(np.uint64) * _B
+            places = (mix(own[lead] + ((p.word[:, None] - p.word[lead]) // PARAGRAPH).astype(np.uint64) * _C) >> np.uint64(33)).astype(np.int32)
         ints = [pa.array(x, pa.int32()) for x in (p.word, p.start, p.stop)]
         lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, (len(p.node) + 1) * BANDS, BANDS), pa.int32()), pa.array(x.ravel())) for x in (keys, places)]
         yield pa.RecordBatch.from_arrays(
@@ -208,8 +209,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     node. Nodes with a MinHash band in common are candidates; two link if the Jaccard similarity of their sets of
     five-word shingles, computed exactly, is at least `percent` / 100. Of every component the first paragraph, by doc_id
     and then place, stays; all others are removed, also repeats within a document, unless they overlap the one that
-    stays. Paragraphs of a document that overlap or touch, and are all removed or all stay, make one passage; start and
-    length are in characters. keep_doc_id is the smallest document in which a paragraph of the passage stays,
+    stays. Paragraphs of a document that start at most REACH words apart, as neighbours do, and are all removed or all
+    stay, make one passage with the words between them; start and length are in characters. keep_doc_id is the smallest document in which a paragraph of the passage stays,
     components are those of its paragraphs. Rows with removed = false show the passages that stay.
 
     Nodes are told apart by 64 bits of hash. Null, empty and shorter texts have no paragraphs. Rows with a null id are
@@ -235,7 +236,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.join(real, "component", "left_semi")
     order = Window.partitionBy("doc_id", "removed").orderBy("word", "start")
     before = F.max("word").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.coalesce(F.col("word") > before + PARAGRAPH, F.lit(True)).cast("int")
+    fresh = F.coalesce(F.col("word") > before + REACH, F.lit(True)).cast("int")
     rows = rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
     merged = rows.groupBy("doc_id", "removed", "run").agg(
         F.min("start").alias("start"),
