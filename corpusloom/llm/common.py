@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,13 +29,40 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see; a temporary one only where none is set."""
+    """A new folder under spark.checkpoint.dir, which all executors see, deleted when the application ends.
+
+    Only a local master, whose one process is driver and executor, gets a temporary folder where none is set.
+    """
     sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not top:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = getattr(sc, "_loom_dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc._loom_dir = top
-    return f"{top.rstrip('/')}/loom-{uuid.uuid4().hex}"
+    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/loom-{uuid.uuid4().hex}")
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return folder.toString()
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of df has."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def sampled(docs: DataFrame, text_col: str, most: int) -> DataFrame:
+    """`docs` with one row for each of the `most` different texts whose 64-bit hashes are least; all of them if they are fewer.
+
+    The hashes of all rows are combined before they are shuffled, and only the texts under the last of the least ones
+    are shuffled, so that copies of a text count once and the sample is bounded and the same at any partitioning.
+    """
+    name = unused(docs, "h")
+    rows = docs.withColumn(name, F.xxhash64(text_col))
+    least = rows.select(name).distinct().orderBy(name).limit(most).agg(F.max(name)).first()[0]
+    return rows.filter(F.col(name) <= F.lit(least)).dropDuplicates([name]).drop(name)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -59,8 +87,8 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
             at = to
 
 
-def maybe_among(rows: DataFrame, id_col: str, ids: DataFrame, words: int = 1 << 16) -> DataFrame:
-    """The rows whose id may be in the first column of `ids`, without a shuffle of the rows.
+def maybe_among(rows: DataFrame, id_col: str, ids: DataFrame, words: int = 1 << 16, keep: bool = True) -> DataFrame:
+    """The rows whose id may be in the first column of `ids`, without a shuffle of the rows; with keep=False the others.
 
     A bit map of 64 * `words` bits, the same size whatever the ids, drops most others; a join on the ids must follow.
     """
@@ -72,4 +100,4 @@ def maybe_among(rows: DataFrame, id_col: str, ids: DataFrame, words: int = 1 <<
     every = rows.sparkSession.range(words).select(F.col("id").cast("int").alias("w")).join(known, "w", "left")
     packed = every.agg(F.expr("transform(sort_array(collect_list(struct(w, coalesce(b, 0L) as b))), x -> x.b)").alias("m")).select("m").scalar()
     at = place(F.col(id_col))
-    return rows.filter(F.getbit(F.get(packed, F.expr(f"cast(pmod(xxhash64({id_col}), {bits}) div 64 as int)")), (at % 64).cast("int")) == 1)
+    return rows.filter(F.getbit(F.get(packed, F.expr(f"cast(pmod(xxhash64({id_col}), {bits}) div 64 as int)")), (at % 64).cast("int")) == (1 if keep else 0))
