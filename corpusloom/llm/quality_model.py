@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, stored, table
+from .common import sampled, steps, stored, table
 from .langid import gram_counts
 from .quality_rules import base_counts
 
 BUCKETS = 2048
-#: About so many documents, chosen by a hash of their texts, train the scorer.
+#: At most so many different texts, chosen by their hashes, train the scorer.
 SAMPLE_DOCS = 3000
 KEEP = 0.5
 TELLING = 30
@@ -106,7 +106,7 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     votes holds one character per labeller: + good, - bad, 0 none. The accuracies of the labellers come from the
     numbers of all vote patterns, at most three to the number of labellers. A linear model on the hashed byte n-grams of
-    whole texts learns the posterior labels from about `sample_docs` documents chosen by hash. kept: the mean of posterior
+    whole texts learns the posterior labels from `sample_docs` different texts at most, chosen by hash. kept: the mean of posterior
     and score is at least `keep`.
     Scores of texts without n-grams are their posteriors, as are all scores where fewer than ten documents can train the
     model. Null text counts as empty; null and repeated ids have rows of their own; other columns are ignored.
@@ -126,10 +126,7 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 own = batch.column(1).slice(at, len(x))
                 yield pa.RecordBatch.from_arrays([own, pa.array([v.tobytes() for v in x], pa.binary())], ["votes", "x"])
 
-    n = sum(found.values())
-    few = rows.filter("text <> ''").select("text", "votes")
-    if n > sample_docs:
-        few = few.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1e6 * sample_docs / n))
+    few = sampled(rows.filter("text <> ''").select("text", "votes"), "text", sample_docs)
     got = sorted((r["votes"], bytes(r["x"])) for r in few.mapInArrow(sample, "votes string, x binary").collect())
     w, bias = None, 0.0
     if len(got) >= 10:
