@@ -264,4 +264,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(table(spark, sf_dir, "documents"), model_path())
+    return encode_decode(table(spark, sf_dir, "documents"), model_path(), check=True)
