@@ -16,7 +16,9 @@ RULES = (
     ("block", "org", "/es/"),
 )
 DAMPING = 0.85
-#: Propagation stops when four rounds change all values by less than this in sum; what is still to come is at most 1.1 times as much.
+#: Rounds between two stored states.
+STRIDE = 8
+#: Propagation stops when STRIDE rounds change all values by less than this in sum; what is still to come is at most 0.4 times as much.
 TOLERANCE = 1e-6
 #: Damping bounds the rounds until then at about 100; more than this many means that something is wrong.
 MOST_ROUNDS = 200
@@ -69,14 +71,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """host, trust, distrust: personalised PageRank, iterated until four rounds change less than `tolerance` in sum.
+    """host, trust, distrust: personalised PageRank, iterated until STRIDE rounds change less than `tolerance` in sum.
 
     edges: src, dst, weight. seeds: host, trust, distrust, each at least 0. Trust flows along the edges from the trusted
     seeds; distrust flows against them, from the blocked seeds to the hosts that link to them. A host without out-edges
     passes on to the seeds: as this only scales a kind, the loop leaves it out and either kind is scaled to sum to 1 at the
     end. Without seeds of a kind it is 0 everywhere. Both kinds run in one loop, as rows (host, kind, value); each round is one join on (host, kind), in which Spark
-    splits a hot host, and one sum per host that is combined before the shuffle. Every fourth round is stored and
-    compared with the one stored before. Raises if `rounds` rounds, rounded up to a multiple of four, are not enough.
+    splits a hot host, and one sum per host that is combined before the shuffle. Every eighth round is stored and
+    compared with the one stored before. Raises if `rounds` rounds, rounded up to a multiple of eight, are not enough.
     """
     both = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), "weight", F.lit("trust").alias("kind")).union(
         edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), "weight", F.lit("distrust").alias("kind"))
@@ -91,8 +93,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     start = start.join(F.broadcast(sums), "kind").select("host", "kind", (F.col("seed") / F.col("total")).alias("seed"))
     start = stored(start.coalesce(tasks))
     state = before = start.select("host", "kind", F.col("seed").alias("value"))
-    for _ in range(0, rounds, 4):
-        for _ in range(4):
+    for _ in range(0, rounds, STRIDE):
+        for _ in range(STRIDE):
             moved = state.join(both, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (damping * F.col("value") * F.col("share")).alias("value"))
             state = (
                 moved.coalesce(tasks).union(start.select("host", "kind", ((1 - damping) * F.col("seed")).alias("value")))
