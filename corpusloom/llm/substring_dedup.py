@@ -227,13 +227,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hot = live.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     rows = maybe_among(parts.drop("keys", "places"), "node", live.select("node"), MAP_WORDS).join(hot, "node")
     rows = stored(rows.select("doc_id", "word", "start", "stop", "component"))
-    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "word")).alias("keep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    # A class whose paragraphs all overlap the one that stays repeats nothing. What a class needs is combined before it is
+    # shuffled, and the join that follows is a plain one, in which Spark splits a hot class.
+    place = F.struct("doc_id", "word")
+    first = rows.groupBy("component").agg(F.min(place).alias("keep"), F.max(place).alias("last"))
+    first = first.filter((F.col("last.doc_id") != F.col("keep.doc_id")) | (F.col("last.word") >= F.col("keep.word") + PARAGRAPH)).drop("last")
     rows = rows.join(first, "component")
     same = (F.col("doc_id") == F.col("keep.doc_id")) & (F.col("word") < F.col("keep.word") + PARAGRAPH)
     rows = rows.select("doc_id", "word", "start", "stop", "component", F.col("keep.doc_id").alias("keep"), (~same).alias("removed"))
-    # A class whose paragraphs all overlap the one that stays repeats nothing.
-    real = rows.groupBy("component").agg(F.bool_or("removed").alias("any")).filter("any").select("component")
-    rows = rows.join(real, "component", "left_semi")
     order = Window.partitionBy("doc_id", "removed").orderBy("word", "start")
     before = F.max("word").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce(F.col("word") > before + REACH, F.lit(True)).cast("int")
