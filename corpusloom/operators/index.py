@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,35 +60,6 @@ def top(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, per_block: int = 1024, per_part: int = 20_000) -> DataFrame:
-    """query_id, doc_id, score, rank of the exact k nearest vectors by cosine, without the query itself.
-
-    queries and vectors: id, v. Blocks of queries meet parts of the vectors in one task per block and part, which keeps
-    the k best of each of its queries; a window then takes the best over the parts. Neither side is broadcast.
-    """
-    blocks = max(1, -(-queries.count() // per_block))
-    parts = max(1, -(-vectors.count() // per_part))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    q = queries.select("id", "v", place(blocks).alias("block"), every(parts).alias("part"))
-    x = vectors.select("id", "v", place(parts).alias("part"), every(blocks).alias("block"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        unit = lambda v: (m := np.stack(v.to_numpy()).astype(float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        score = np.round(unit(left["v"]) @ unit(right["v"]).T, 6)
-        score[left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]] = -np.inf
-        ids, out = right["id"].to_numpy(), []
-        for i, query in enumerate(left["id"]):
-            order = np.lexsort((ids, -score[i]))[:k]
-            out += [(query, ids[j], score[i, j]) for j in order if score[i, j] > -np.inf]
-        return pd.DataFrame(out, columns=["query_id", "doc_id", "score"])
-
-    found = q.groupBy("block", "part").cogroup(x.groupBy("block", "part")).applyInPandas(best, "query_id long, doc_id long, score double")
-    return top(found, k)
-
-
 def hash_features(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = 512) -> DataFrame:
     """id, slot, value: words (weight 1 each) and character pairs and triples (0.6 each), hashed with sign; of length 1."""
     text = F.col(text_col)
@@ -106,21 +75,46 @@ def hash_features(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return cells.select("id", "slot", (F.col("value") / F.when(norm > 0, norm).otherwise(1.0)).alias("value"))
 
 
-def sparse_cosine(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Top k by the dot products of hashed features (id, slot, value), which have length 1."""
-    q = queries.select(F.col("id").alias("query_id"), "slot", F.col("value").alias("qv"))
-    dots = chunks.join(q, "slot").groupBy("query_id", F.col("id").alias("doc_id")).agg(F.round(F.sum(F.col("value") * F.col("qv")), 6).alias("score"))
-    return top(dots, k)
-
-
-def fuse(semantic: DataFrame, keyword: DataFrame, k: int, semantic_weight: float = 0.6) -> DataFrame:
-    """Full outer union of two candidate lists (query_id, doc_id, score), each scaled by its query's best score."""
+def fuse(semantic: DataFrame, keyword: DataFrame, semantic_weight: float = 0.6) -> DataFrame:
+    """query_id, doc_id, sem, score: full outer union of two candidate lists (query_id, doc_id, score), each scaled by its query's best score."""
     both = semantic.select("query_id", "doc_id", F.greatest("score", F.lit(0.0)).alias("sem"), F.lit(0.0).alias("kw")).union(
         keyword.select("query_id", "doc_id", F.lit(0.0).alias("sem"), F.col("score").alias("kw"))
     )
     both = both.groupBy("query_id", "doc_id").agg(F.max("sem").alias("sem"), F.max("kw").alias("kw"))
     best = lambda c: F.max(c).over(Window.partitionBy("query_id"))
     part = lambda c: F.when(best(c) > 0, F.col(c) / best(c)).otherwise(0.0)
-    return top(both.select("query_id", "doc_id", F.round(semantic_weight * part("sem") + (1 - semantic_weight) * part("kw"), 6).alias("score")), k)
+    return both.select("query_id", "doc_id", "sem", F.round(semantic_weight * part("sem") + (1 - semantic_weight) * part("kw"), 6).alias("score"))
+
+
+def phrase_bonus(score: Column, query: Column, text: Column, bonus: float = 0.12) -> Column:
+    """The score, raised up to 1 where the text contains the whole query of two characters or more."""
+    phrase = F.trim(F.regexp_replace(query, r"\s+", " "))
+    return F.when((F.length(phrase) >= 2) & text.contains(phrase), F.least(F.lit(1.0), score + bonus)).otherwise(score)
 
 
+def coverage(hits: DataFrame, terms: DataFrame, weights: DataFrame, n: Column) -> DataFrame:
+    """query_id, doc_id, coverage of hits (query_id, doc_id, matched): the weight of the matched terms among the query's.
+
+    weights: term, idf. A term that no text has weighs the mean of the query's known ones, at most the greatest idf; a
+    query without known terms has 0.
+    """
+    rows = terms.join(weights, "term", "left")
+    known = rows.groupBy("query_id").agg(
+        F.coalesce(F.sum("idf"), F.lit(0.0)).alias("known"), F.count_if(F.col("idf").isNull()).alias("unknown"), F.coalesce(F.avg("idf"), F.lit(0.0)).alias("mean")
+    )
+    whole = F.col("known") + F.col("unknown") * F.least(F.log(1 + (n + 0.5) / 0.5), F.col("mean"))
+    got = hits.select("query_id", "doc_id", F.explode("matched").alias("term")).join(rows, ["query_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum("idf").alias("got"))
+    return got.join(known, "query_id").select("query_id", "doc_id", F.when(whole > 0, F.col("got") / whole).otherwise(0.0).alias("coverage"))
+
+
+def hybrid(semantic: DataFrame, keyword: DataFrame, covered: DataFrame, queries: DataFrame, texts: DataFrame, gate: float = 0.18, shortlist: int = 20) -> DataFrame:
+    """query_id, doc_id, score, relevance, rank of the best `shortlist` candidates whose relevance reaches `gate`.
+
+    semantic and keyword: query_id, doc_id, score; covered: query_id, doc_id, coverage; queries: query_id, q; texts:
+    doc_id, text. score is that of `fuse` with the phrase bonus, relevance 0.6 of the cosine and 0.4 of the coverage, each
+    0 where the candidate isn't in that list.
+    """
+    rows = fuse(semantic, keyword).join(covered, ["query_id", "doc_id"], "left").join(queries, "query_id").join(texts, "doc_id")
+    relevance = F.round(0.6 * F.col("sem") + 0.4 * F.coalesce("coverage", F.lit(0.0)), 6)
+    rows = rows.select("query_id", "doc_id", F.round(phrase_bonus(F.col("score"), F.col("q"), F.col("text")), 6).alias("score"), relevance.alias("relevance"))
+    return top(rows.filter(F.col("relevance") >= gate), shortlist)

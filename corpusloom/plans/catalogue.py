@@ -9,6 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import conversation as C
 from corpusloom.operators import corpus as D
 from corpusloom.operators import index as I
+from corpusloom.operators import vectors as V
 from corpusloom.sources import load as L
 
 QUERIES: dict = {}
@@ -89,16 +90,11 @@ a AS (SELECT query_id, coalesce(sum(idf), 0) AS known, count(*) FILTER (idf IS N
 m AS (SELECT r.query_id, r.doc_id, r.rank, sum(w.idf) AS got FROM r JOIN w USING (query_id) JOIN p ON p.doc_id = r.doc_id AND p.t = w.t WHERE r.rank <= 5 GROUP BY ALL)
 SELECT query_id, doc_id, rank, round(got / (known + unknown * pen), 4) AS coverage FROM m JOIN a USING (query_id)""")
 def idf_coverage(t):
-    docs, terms = t("documents"), I.query_terms(t("benchmark"))
+    docs = t("documents")
     n = docs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    weights = terms.join(I.idf_table(docs), "term", "left")
-    known = weights.groupBy("query_id").agg(
-        F.coalesce(F.sum("idf"), F.lit(0.0)).alias("known"), F.count_if(F.col("idf").isNull()).alias("unknown"), F.coalesce(F.avg("idf"), F.lit(0.0)).alias("mean")
-    )
-    pen = F.least(F.log(1 + (n + 0.5) / 0.5), F.col("mean"))
-    hits = I.bm25(t("benchmark"), docs, 5).select("query_id", "doc_id", "rank", F.explode("matched").alias("term"))
-    got = hits.join(weights, ["query_id", "term"]).groupBy("query_id", "doc_id", "rank").agg(F.sum("idf").alias("got"))
-    return got.join(known, "query_id").select("query_id", "doc_id", "rank", F.round(F.col("got") / (F.col("known") + F.col("unknown") * pen), 4).alias("coverage"))
+    hits = I.bm25(t("benchmark"), docs, 5)
+    found = I.coverage(hits, I.query_terms(t("benchmark")), I.idf_table(docs), n)
+    return hits.select("query_id", "doc_id", "rank").join(found, ["query_id", "doc_id"]).withColumn("coverage", F.round("coverage", 4))
 
 
 @query(f"""WITH {_BM25}, r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h),
@@ -161,13 +157,13 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 @query(_KNN.format(on=""))
 def knn_top10(t):
     v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return I.knn(v.filter("id % 50 = 0"), v, 10)
+    return V.knn(v.filter("id % 50 = 0"), v, 10)
 
 
 @query(_KNN.format(on="AND v.label = 3"))
 def knn_scoped_label(t):
     v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    return I.knn(v.filter("id % 50 = 0"), v.filter("label = 3"), 10)
+    return V.knn(v.filter("id % 50 = 0"), v.filter("label = 3"), 10)
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z][a-z0-9_\\-'']*|[0-9]+(?:\\.[0-9]+)?')) AS n_all, len({_TOKENS}) AS n_kept FROM documents")
@@ -330,10 +326,6 @@ def question_intent(t):
     return t("conversations").filter("role = 'user'").select("conv_id", "turn", C.intent(F.col("text")).alias("intent"))
 
 
-def _features(t) -> tuple[DataFrame, DataFrame]:
-    return I.hash_features(t("benchmark"), "item_id"), I.hash_features(t("documents"))
-
-
 @query()
 def hash_embed_sparse(t):
     return I.hash_features(t("documents")).withColumn("value", F.round("value", 6))
@@ -354,7 +346,24 @@ def simhash_bands(t):
     return D.simhash_bands(D.simhash(t("documents")))
 
 
+def _hybrid(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The gated shortlist of every question, and the vectors of questions and documents."""
+    docs, asked = t("documents"), t("benchmark")
+    q, d = V.dense(asked, "item_id"), V.dense(docs)
+    keyword = I.bm25(asked, docs, 30)
+    n = docs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    covered = I.coverage(keyword, I.query_terms(asked), I.idf_table(docs), n)
+    queries = asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")).filter(F.trim("q") != "")
+    return I.hybrid(V.knn(q, d, 30, others=False), keyword, covered, queries, docs.select("doc_id", "text")), q, d
+
+
 @query()
 def hybrid_fuse(t):
-    asked, stored = _features(t)
-    return I.fuse(I.sparse_cosine(asked, stored, 30), I.bm25(t("benchmark"), t("documents"), 30), 6)
+    return _hybrid(t)[0].filter("rank <= 6")
+
+
+@query()
+def mmr_select(t):
+    short, q, d = _hybrid(t)
+    rows = short.join(q.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id").join(d.select(F.col("id").alias("doc_id"), "v"), "doc_id")
+    return V.mmr(rows.select("query_id", "doc_id", "score", "qv", "v"), 6)

@@ -12,6 +12,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import conversation as C
 from corpusloom.operators import corpus as D
 from corpusloom.operators import index as I
+from corpusloom.operators import vectors as V
 from corpusloom.plans.catalogue import QUERIES, SQL
 from corpusloom.plans.session import ship
 from corpusloom.sources import load as L
@@ -128,7 +129,7 @@ def test_intents(spark):
 def test_fusion(spark):
     a = spark.createDataFrame([(1, 10, 0.5), (1, 11, 0.25)], "query_id long, doc_id long, score double")
     b = spark.createDataFrame([(1, 11, 4.0), (1, 12, 2.0)], "query_id long, doc_id long, score double")
-    assert [(r.doc_id, r.score) for r in I.fuse(a, b, 3).orderBy("rank").collect()] == [(11, 0.7), (10, 0.6), (12, 0.2)]
+    assert [(r.doc_id, r.score) for r in I.top(I.fuse(a, b), 3).orderBy("rank").collect()] == [(11, 0.7), (10, 0.6), (12, 0.2)]
 
 
 def test_sources(spark, tmp_path):
@@ -149,3 +150,41 @@ def test_stream(spark, sf_dir, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(str(tmp_path / "in/x"))
     ingest.append_to(ingest.windowed_stats(stream, "1 day"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0] > 900
+
+
+def test_dense_is_hash_features(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy(F.length("text")).limit(40).union(spark.createDataFrame([(-1, "知识库 A  b", "", "", 1), (-2, "", "", "", 0), (-3, None, "", "", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    got = {r.id: r.v for r in V.dense(docs).collect()}
+    want = {i: [0.0] * 512 for i in got}
+    for r in I.hash_features(docs).collect():
+        want[r.id][r.slot] = r.value
+    assert len(got) == 43 and all(v == pytest.approx(want[i], abs=1e-6) for i, v in got.items())
+
+
+def test_hybrid_by_hand(spark, sf_dir):
+    got = QUERIES["hybrid_fuse"](ship(spark), sf_dir).toPandas()
+    assert (got.relevance >= 0.18).all() and (got.groupby("query_id")["rank"].max() <= 6).all() and got.score.max() <= 1 and len(got) > 50
+    docs, asked = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "benchmark"))
+    import numpy as np
+
+    d, q = V.dense(docs).toPandas().sort_values("id"), V.dense(asked, "item_id").toPandas()
+    score = np.round(np.stack(q.v).astype(float) @ np.stack(d.v).astype(float).T, 6)
+    near = V.knn(V.dense(asked, "item_id"), V.dense(docs), 30, others=False).toPandas()
+    for i, query in enumerate(q.id):
+        order = sorted(range(len(d)), key=lambda j: (-score[i][j], d.id.iloc[j]))[:30]
+        own = near[near.query_id == query].sort_values("rank")
+        assert own.score.tolist() == pytest.approx([score[i][j] for j in order], abs=2e-6)
+
+
+def test_mmr(spark):
+    e = lambda *x: [float(y) for y in x]
+    rows = [(1, 1, 1.0, e(1, 0), e(1, 0)), (1, 2, 0.99, e(1, 0), e(1, 0.01)), (1, 3, 0.5, e(1, 0), e(0, 1)), (1, 4, 0.4, e(1, 0), None), (2, 1, 0.1, e(0, 1), e(1, 1))]
+    got = V.mmr(spark.createDataFrame(rows, "query_id long, doc_id long, score double, qv array<double>, v array<double>"), 3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.doc_id) for r in got] == [(1, 1), (1, 3), (1, 4), (2, 1)]
+
+
+def test_knn_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0]), (5, [1.0, 0.0]), (6, [0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    assert [(r.doc_id, r.score) for r in V.knn(v.filter("id = 1"), v, 2).orderBy("rank").collect()] == [(5, 1.0), (2, 0.0)]
+    assert V.knn(v.filter("false"), v, 2).count() == 0 and V.knn(v, v.filter("false"), 2).count() == 0
