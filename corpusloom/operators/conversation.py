@@ -94,9 +94,5 @@ def grounding(answers: DataFrame) -> DataFrame:
     return answers.select("query_id", "doc_id", F.round(share, 6).alias("overlap")).withColumn("supported", F.col("overlap") >= 0.25)
 
 
-def citations(answer: Column) -> Column:
-    return F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,2})\]"), F.lit(1)), lambda x: x.cast("int"))
-
-
 def preview(text: Column, most: int = 120) -> Column:
     return truncate(F.translate(text, "\n", " "), most)

@@ -57,20 +57,6 @@ def cleaned_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.withColumn("dropped", ~F.col("fenced") & ((times >= 3) | is_page_number(line)))
 
 
-def merge_wrapped(lines: Column) -> Column:
-    """Joins a line to the one before it, without a space, unless that is short, ends a sentence, is a heading, or either is a table row, or this one starts a block."""
-    last = lambda a: F.element_at(a, -1)
-
-    def joins(a: Column, x: Column) -> Column:
-        p = last(a)
-        open_ = (F.length(p) >= 12) & ~F.lit(SENTENCE_TAIL).contains(F.substring(p, -1, 1)) & ~p.startswith("|") & ~p.startswith("#")
-        return (F.size(a) > 0) & open_ & (x != "") & ~x.rlike(KEPT_LINE) & ~x.startswith("#")
-
-    empty = F.array().cast("array<string>")
-    step = lambda a, x: F.when(joins(a, x), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.concat(last(a), x)))).otherwise(F.concat(a, F.array(x)))
-    return F.aggregate(lines, empty, step)
-
-
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", characters: bool = False) -> DataFrame:
     """doc_id, simhash, n_chars: bit i is set when more tokens have it set in the first 8 bytes of their MD5 than not.
 

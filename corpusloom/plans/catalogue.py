@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import answers as A
 from corpusloom.operators import conversation as C
 from corpusloom.operators import corpus as D
 from corpusloom.operators import index as I
+from corpusloom.operators import structure as U
 from corpusloom.operators import vectors as V
 from corpusloom.sources import load as L
 
@@ -367,3 +369,95 @@ def mmr_select(t):
     short, q, d = _hybrid(t)
     rows = short.join(q.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id").join(d.select(F.col("id").alias("doc_id"), "v"), "doc_id")
     return V.mmr(rows.select("query_id", "doc_id", "score", "qv", "v"), 6)
+
+
+@query(r"""WITH l AS (SELECT doc_id, len(text) AS n0, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+c AS (SELECT doc_id, n0, pos, trim(raw, ' ') AS line, count(*) FILTER (len(trim(raw, ' ')) BETWEEN 1 AND 40 AND NOT regexp_matches(trim(raw, ' '), '^(#{1,6}\s|>\s|[-*+]\s|\d+[.)]\s|\||```)')) OVER (PARTITION BY doc_id, trim(raw, ' ')) AS n FROM l),
+k AS (SELECT *, n >= 3 OR (line <> '' AND len(line) <= 12 AND regexp_matches(line, '^\s*[-\[\(]*\s*\d{1,4}\s*(?:/\s*\d{1,4})?\s*[-\]\)]*\s*$')) AS dropped FROM c),
+a AS (SELECT doc_id, pos, line, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM k WHERE NOT dropped),
+m AS (SELECT *, coalesce(prev, '') <> '' AND line <> '' AND NOT regexp_matches(right(prev, 1), '[!?;:.)\]-]') AND NOT regexp_matches(line, '^(#|>\s|[-*+]\s|\d+[.)]\s|\||```)') AS may FROM a),
+r AS (SELECT *, sum(CASE WHEN may THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m),
+j AS (SELECT *, may AND coalesce(bool_or(len(line) >= 12 AND NOT starts_with(line, '|')) OVER (PARTITION BY doc_id, run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS joins FROM r),
+t AS (SELECT doc_id, string_agg(CASE WHEN joins THEN line ELSE chr(10) || line END, '' ORDER BY pos) AS t, count(*) FILTER (joins) AS merged FROM j GROUP BY 1),
+p AS (SELECT doc_id, merged, """ + "regexp_replace(" * 7 + r"""t, ',{4,}', ',', 'g'), '[.]{4,}', '.', 'g'), '!{4,}', '!', 'g'), '[?]{4,}', '?', 'g'), ';{4,}', ';', 'g'), ':{4,}', ':', 'g'), ' {2,}', ' ', 'g') AS t FROM t),
+q AS (SELECT doc_id, merged, regexp_replace(regexp_replace(t, '
+{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM p)
+SELECT d.doc_id, md5(coalesce(t, '')) AS cleaned, len(d.text)::INT AS original_chars, len(coalesce(t, ''))::INT AS cleaned_chars, (SELECT count(*) FROM k WHERE k.doc_id = d.doc_id AND dropped) AS dropped_lines, coalesce(merged, 0) AS merged_lines
+FROM documents d LEFT JOIN q USING (doc_id)""")
+def clean_text(t):
+    return U.clean_text(t("documents")).withColumn("cleaned", F.md5("cleaned")).drop("removed_ratio")
+
+
+@query()
+def split_chunks(t):
+    return U.split_chunks(t("documents")).select("doc_id", "ordinal", "start", "n_chars", "kind", F.md5("content").alias("content_md5"))
+
+
+def _evidence(t, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The questions, and the best k documents of each as evidence."""
+    asked = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    hits = I.bm25(t("benchmark"), t("documents"), k).select("query_id", "doc_id", F.col("rank").alias("idx"))
+    docs = t("documents").select("doc_id", F.col("text").alias("content"), F.col("source").alias("document"), F.lit(None).cast("string").alias("heading"))
+    return asked, hits.join(docs, "doc_id")
+
+
+_SPLIT = r"list_filter(list_transform(regexp_extract_all({}, '[^!?;\n]*(?:[!?;\n][)\]\"'']*|$)'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '')"
+_EVIDENCE = f"""WITH {_BM25}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS idx FROM h),
+ev AS (SELECT query_id, idx, text AS content, source AS document FROM r JOIN documents USING (doc_id) WHERE idx <= 3)"""
+_OF = lambda x: _TOKENS.replace("lower(text)", f"lower({x})")
+
+
+@query(rf"""{_EVIDENCE}, s0 AS (SELECT query_id, idx, document, unnest({_SPLIT.format("content")}) AS s, unnest(range(len({_SPLIT.format("content")}))) AS pos FROM ev),
+s1 AS (SELECT query_id, idx, document, pos, trim(regexp_replace(s, '^[#*+>| \t-]+', '')) AS s FROM s0),
+s2 AS (SELECT *, list_distinct({_OF("s")}) AS w FROM s1 WHERE len(s) >= 6 AND len(regexp_replace(s, '[\s#>*|-]', '', 'g')) >= 6),
+cand AS (SELECT * FROM s2 WHERE len(w) > 0),
+nn AS (SELECT query_id, count(*) AS n FROM cand GROUP BY 1),
+hit AS (SELECT cand.query_id, idx, pos, u.t FROM cand, unnest(w) AS u(t) JOIN q ON q.query_id = cand.query_id AND q.t = u.t),
+wt AS (SELECT q.query_id, q.t, ln((n + 1) / (coalesce(c, 0) + 1)) + 0.1 AS x FROM q JOIN nn USING (query_id) LEFT JOIN (SELECT query_id, t, count(*) AS c FROM hit GROUP BY ALL) d ON d.query_id = q.query_id AND d.t = q.t),
+sc AS (SELECT hit.query_id, hit.idx, hit.pos, sum(x) AS got FROM hit JOIN wt ON wt.query_id = hit.query_id AND wt.t = hit.t GROUP BY ALL),
+sd AS (SELECT cand.query_id, cand.idx, cand.pos, document, s, round(got / whole, 6) AS score FROM sc JOIN cand USING (query_id, idx, pos) JOIN (SELECT query_id, sum(x) AS whole FROM wt GROUP BY 1) USING (query_id)),
+p1 AS (SELECT * FROM sd QUALIFY row_number() OVER (PARTITION BY query_id, s ORDER BY score DESC, idx, pos) = 1),
+p2 AS (SELECT * FROM p1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, idx, pos) <= 5)
+SELECT query_id, idx, document, md5(s) AS sentence, score FROM p2
+UNION ALL SELECT query_id, idx, document, md5(arg_min(s, pos)), 0.0 FROM s2 WHERE idx <= 2 AND query_id NOT IN (SELECT query_id FROM p2) GROUP BY ALL""")
+def extractive_answer(t):
+    return A.extract_answers(*_evidence(t)).withColumn("sentence", F.md5("sentence"))
+
+
+def _checked(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each question as its own answer, which cites its first evidence, and one that doesn't exist in every second."""
+    asked, evidence = _evidence(t)
+    cite = F.when(F.col("query_id") % 2 == 0, " [1][9]").otherwise(" [1]")
+    return asked, evidence, A.verify(asked.select("query_id", F.concat("q", cite).alias("answer")), evidence)
+
+
+@query(f"""{_EVIDENCE}, a AS (SELECT item_id AS query_id, text, list_last(list_filter({_SPLIT.format("text")}, lambda x: len({_OF("x").replace("lambda x", "lambda y").replace("x NOT IN", "y NOT IN")}) > 0)) AS s FROM benchmark),
+o AS (SELECT a.query_id, a.text, list_distinct({_OF("s")}) AS w, {_OF("content")} AS e FROM a JOIN ev ON ev.query_id = a.query_id AND idx = 1)
+SELECT query_id, md5(text || ' [1]') AS answer, [1] AS used, CASE WHEN query_id % 2 = 0 THEN [9] ELSE [] END AS invalid, CASE WHEN len(list_intersect(w, e)) / len(w) >= 0.25 THEN 1.0 ELSE 0.0 END AS grounded_ratio, len(list_intersect(w, e)) / len(w) >= 0.25 AS grounded FROM o""")
+def citation_check(t):
+    return _checked(t)[2].drop("unsupported").withColumn("answer", F.md5("answer"))
+
+
+@query()
+def reflection(t):
+    asked, evidence, checked = _checked(t)
+    return A.reflect(asked, checked, evidence)
+
+
+@query(f"""{_EVIDENCE}, t AS (SELECT *, sum(len(content)) OVER (PARTITION BY query_id ORDER BY idx) AS total FROM ev) SELECT query_id, idx, document, left(content, 800) AS content FROM t WHERE total <= 12000 OR idx = 1""")
+def evidence_within_chars(t):
+    asked, evidence = _evidence(t)
+    kept = A.within_chars(evidence)
+    return A.citations(asked.select("query_id", F.array().cast("array<int>").alias("used")), kept)
+
+
+@query("""SELECT conv_id, count(*) AS n_messages, count(*) FILTER (role = 'user') AS n_user FROM conversations GROUP BY 1""")
+def message_counts(t):
+    return t("conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"), F.count_if(F.col("role") == "user").alias("n_user"))
+
+
+@query("""SELECT doc_id, CASE WHEN d.lang IN ('en', 'de') AND l.quality IS NULL THEN 'open' WHEN l.quality IS NULL THEN 'other' ELSE 'labelled' END AS state, coalesce(l.toxic, 0) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def label_state(t):
+    rows = t("documents").select("doc_id", "lang").join(t("labels"), "doc_id", "left")
+    state = F.when(F.col("lang").isin("en", "de") & F.col("quality").isNull(), "open").when(F.col("quality").isNull(), "other").otherwise("labelled")
+    return rows.select("doc_id", state.alias("state"), F.coalesce("toxic", F.lit(0)).alias("toxic"))

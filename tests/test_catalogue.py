@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from corpusloom.functions import text as T
+from corpusloom.operators import answers as A
 from corpusloom.operators import conversation as C
 from corpusloom.operators import corpus as D
 from corpusloom.operators import index as I
+from corpusloom.operators import structure as U
 from corpusloom.operators import vectors as V
 from corpusloom.plans.catalogue import QUERIES, SQL
 from corpusloom.plans.session import ship
@@ -62,7 +64,6 @@ def test_text(spark):
 
 
 def test_clean(spark):
-    assert one(spark, D.merge_wrapped(F.array(*map(F.lit, ["a line that goes", "on here.", "Next", "# Head of the text", "body"])))) == ["a line that goeson here.", "Next", "# Head of the text", "body"]
     docs = spark.createDataFrame([(1, "foot\nx\nfoot\n- 3 -\nfoot\n```\nfoot\n```")], "doc_id long, text string")
     got = [r.line for r in D.cleaned_lines(docs).orderBy("pos").filter("NOT dropped").collect()]
     assert got == ["x", "```", "foot", "```"]
@@ -188,3 +189,110 @@ def test_knn_odd_vectors(spark):
     v = spark.createDataFrame(rows, "id long, v array<double>")
     assert [(r.doc_id, r.score) for r in V.knn(v.filter("id = 1"), v, 2).orderBy("rank").collect()] == [(5, 1.0), (2, 0.0)]
     assert V.knn(v.filter("false"), v, 2).count() == 0 and V.knn(v, v.filter("false"), 2).count() == 0
+
+
+def test_clean_whole(spark):
+    ship(spark)
+    cases = {
+        "ＡＢ\u200bc\ufeff\ue000": "ABc",
+        "exam-\nple\r\nnext\rline": "example\nnext\nline",
+        "foot\nx\nfoot\n- 3 -\nfoot\n2024": "x",
+        "a line that goes\non here.\nNext": "a line that goeson here.\nNext",
+        "# Head of the text\nbody": "# Head of the textbody",
+        "| a table row here |\nnext": "| a table row here |\nnext",
+        "short\nline that is longer\nthan that\nand ends.\nNo": "short\nline that is longerthan thatand ends.\nNo",
+        "why？？？？？ ok!!!\n\n\n\n  b    c  ": "why? ok!!!\n\nb c",
+        "": "", None: "",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r for r in U.clean_text(docs).collect()}
+    assert [got[i].cleaned for i in range(len(cases))] == list(cases.values())
+    assert got[2].dropped_lines == 5 and got[6].merged_lines == 2 and got[2].removed_ratio == round(1 - 1 / 27, 4)
+
+
+def test_split_by_structure(spark):
+    ship(spark)
+    text = "# T\nintro line\n\n## A\n1. one\n2. two\n  more\n\n| x | y |\n| 1 | 2 |\n```\ncode\n\n| no table but a line of code |\n```\ntail text\n### B\nx\n# C\n第三章 总结\n3.1 部分\nbody 4.2 no head\n5.1 still body\n"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "  \n "), (5, "s" * 50)], "doc_id long, text string")
+    got = [(r.kind, text[r.start : r.stop], r.heading) for r in U.units(docs).filter("doc_id = 1").orderBy("start").collect()]
+    assert got == [
+        ("heading", "# T", "T"), ("prose", "intro line", "T"), ("heading", "## A", "T > A"), ("list", "1. one\n2. two\n  more", "T > A"), ("table", "| x | y |\n| 1 | 2 |", "T > A"),
+        ("code", "```\ncode\n\n| no table but a line of code |\n```", "T > A"), ("prose", "tail text", "T > A"), ("heading", "### B", "T > A > B"), ("prose", "x", "T > A > B"), ("heading", "# C", "C"),
+        ("heading", "第三章 总结", "C > 第三章 总结"), ("heading", "3.1 部分", "C > 第三章 总结 > 3.1 部分"), ("prose", "body 4.2 no head\n5.1 still body", "C > 第三章 总结 > 3.1 部分"),
+    ]
+    rows = U.split_chunks(docs).orderBy("doc_id", "ordinal").collect()
+    assert [r.content for r in rows if r.doc_id == 5] == ["s" * 50] and {r.doc_id for r in rows} == {1, 5}
+    own = [r for r in rows if r.doc_id == 1]
+    assert all(text[r.start : r.start + r.n_chars] == r.content for r in own) and [r.ordinal for r in own] == list(range(len(own)))
+    assert [r.kind for r in own].count("code") == 1 and own[0].heading == "T" and own[-1].heading == "C > 第三章 总结 > 3.1 部分"
+
+
+def test_split_long_units(spark, sf_dir):
+    ship(spark)
+    prose, table = "".join(f"Sentence number {i} ends here! " for i in range(120)), "\n".join(f"| row {i} | of a long table |" for i in range(100))
+    texts = {1: prose, 2: table, 3: prose + "\n\nshort tail", 4: "a" * 1700, 5: "x" * 30 + "\n\n" + "y" * 30}
+    rows = U.split_chunks(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    for i, t in texts.items():
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.ordinal)
+        assert own and all(t[r.start : r.start + r.n_chars] == r.content for r in own)
+        ends, last = [r.start + r.n_chars for r in own], 0
+        for r, e in zip(own, ends):
+            assert r.start <= last + 3
+            last = e
+        assert own[0].start == 0 and ends[-1] == len(t.rstrip())
+    # An overlap is a whole atom of up to 600 characters.
+    assert all(r.n_chars <= 1240 for r in rows if r.doc_id in (1, 2)) and len([r for r in rows if r.doc_id == 1]) > 5
+    assert [r.n_chars for r in rows if r.doc_id == 4] == [1700] and [r.n_chars for r in rows if r.doc_id == 5] == [62]
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = U.split_chunks(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
+    assert all(docs[r.doc_id][r.start : r.start + r.n_chars] == r.content for r in got) and {r.doc_id for r in got} == {i for i, t in docs.items() if t.strip()}
+
+
+EVIDENCE = [(1, 1, "知识库 系统 支持 检索 documents quickly", "docA", "H"), (1, 2, "other material about trees", "docB", None), (2, 1, "alpha beta gamma", "docA", None)]
+EVIDENCE_TYPE = "query_id long, idx int, content string, document string, heading string"
+
+
+def test_verify(spark):
+    evidence = spark.createDataFrame(EVIDENCE, EVIDENCE_TYPE)
+    answers = [(1, "The documents quickly found. [1] Trees grow。[2] Nonsense words entirely! zzz yyy xxx [2][7]"), (2, "no citation here"), (3, "nothing [1]"), (4, "")]
+    got = {r.query_id: r for r in A.verify(spark.createDataFrame(answers, "query_id long, answer string"), evidence).collect()}
+    a = got[1]
+    assert a.used == [1, 2] and a.invalid == [7] and "[7]" not in a.answer and a.grounded_ratio == 0.3333 and not a.grounded
+    assert a.unsupported == ["[2] Nonsense words entirely!", "zzz yyy xxx [2]"]
+    assert not got[2].grounded and got[2].used == [1] and got[2].answer.endswith("- [1] 《docA》") and got[2].grounded_ratio == 0
+    assert not got[3].grounded and not got[4].grounded and got[4].answer == ""
+    shown = A.citations(spark.createDataFrame([(1, [2]), (2, [])], "query_id long, used array<int>"), evidence).orderBy("query_id").collect()
+    assert [(r.query_id, r.idx) for r in shown] == [(1, 2), (2, 1)]
+    loose = A.verify(spark.createDataFrame([(1, "documents [1][8]")], "query_id long, answer string"), evidence, strict=False).first()
+    assert loose.answer == "documents [1][8]" and loose.invalid == [8] and loose.grounded_ratio == 1
+
+
+def test_reflection_rules(spark):
+    evidence = spark.createDataFrame(EVIDENCE, EVIDENCE_TYPE)
+    asked = spark.createDataFrame([(1, "documents trees rockets"), (2, "alpha beta"), (3, "anything else")], "query_id long, q string")
+    answers = spark.createDataFrame([(1, "documents quickly [1]"), (2, "alpha beta [1]"), (3, "x")], "query_id long, answer string")
+    got = {r.query_id: r for r in A.reflect(asked, A.verify(answers, evidence), evidence, 0.7).collect()}
+    assert got[1].coverage == 0.6667 and got[1].missing == got[1].follow_up == ["rockets"] and not got[1].sufficient and not got[1].risk
+    assert got[2].sufficient and got[2].score == 1 and got[2].follow_up == []
+    assert got[3].risk and not got[3].sufficient and got[3].coverage == 0
+    both = A.merge_verdicts(A.reflect(asked, A.verify(answers, evidence), evidence), spark.createDataFrame([(2, False, True, 0.1, ["m"], ["f"])], "query_id long, sufficient boolean, risk boolean, score double, missing array<string>, follow_up array<string>")).first()
+    assert not both.sufficient and both.risk and both.score == 1 and both.missing == ["m"] and both.follow_up == ["f"]
+
+
+def test_answer_pieces(spark):
+    evidence = spark.createDataFrame(EVIDENCE + [(1, 3, "- short; The trees of the documents grow quickly!", "docC", None)], EVIDENCE_TYPE)
+    asked = spark.createDataFrame([(1, "documents trees"), (2, "nothing shared")], "query_id long, q string")
+    got = A.extract_answers(asked, evidence).orderBy("query_id", F.desc("score")).collect()
+    assert got[0].sentence == "The trees of the documents grow quickly!" and got[0].score == 1 and [(r.query_id, r.score) for r in got][-1] == (2, 0.0)
+    assert {(r.document, r.idx) for r in A.compared_answers(evidence).collect()} == {("docA", 1), ("docB", 2), ("docC", 3)}
+    assert one(spark, A.compare_targets(F.lit("对比一下Redis和MySQL有什么区别？"))) == ["Redis", "MySQL"]
+    said = one(spark, A.extract_memories(F.lit("我是一名工程师。我喜欢简短回答，记住我喜欢简短回答。")))
+    assert [(x.category, x.content) for x in said] == [("fact", "用户信息：一名工程师"), ("preference", "用户偏好：简短回答，记住我喜欢简短回答"), ("fact", "用户信息：我喜欢简短回答")]
+    assert one(spark, A.normal_memory(F.lit("Odd"), F.lit(" xy "), F.lit(7.0))).asDict() == {"category": "fact", "content": "xy", "importance": 1.0} and one(spark, A.normal_memory(F.lit("fact"), F.lit("x"), F.lit(0.5))) is None
+    memories = spark.createDataFrame([(1, 1, 0.5, 0, True, [1.0, 0.0]), (1, 2, 0.5, 9, True, [0.0, 1.0]), (1, 3, 0.9, 0, False, None), (1, 4, 0.4, 0, True, None)], "user_id long, memory_id long, importance double, hits int, active boolean, v array<double>")
+    asked = spark.createDataFrame([(7, 1, [1.0, 0.0])], "query_id long, user_id long, qv array<double>")
+    assert [(r.memory_id, r.value) for r in A.recall(asked, memories, 2).orderBy("rank").collect()] == [(1, 0.725), (2, 0.325)]
+    hits = spark.createDataFrame([(1, 1, 0.5), (1, 1, 0.7), (1, 2, 0.6)], "query_id long, doc_id long, score double")
+    assert [(r.doc_id, r.score) for r in A.merged(hits, 5).orderBy("rank").collect()] == [(1, 0.7), (2, 0.6)]
+    assert A.supplement(hits.filter("doc_id = 1"), hits.withColumn("relevance", F.col("score"))).count() == 1
+    assert A.within_chars(evidence.filter("query_id = 1"), 50).count() == 1 and one(spark, A.has_material(F.lit(None).cast("double"))) is False
