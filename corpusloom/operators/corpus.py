@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -106,14 +107,25 @@ def near_pairs(hashes: DataFrame, distance: int = 3, tolerance: float = 0.02) ->
     return pairs.union(same)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, in the folder of spark.checkpoint.dir; only a local master gets a temporary one where none is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        top = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not top and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(top or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()
+
+
 def greedy_keep(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, kept: in id order, a document is dropped if a kept earlier one is its pair (a < b); a dropped one drops no other.
 
     Each round decides the documents whose earlier partners are all decided, until none is open.
     """
-    pairs = pairs.select("a", "b").checkpoint()
+    pairs = cut(pairs.select("a", "b"))
     state = nodes.select("doc_id").join(pairs.select(F.col("b").alias("doc_id")).distinct().withColumn("open", F.lit(True)), "doc_id", "left")
-    state = state.select("doc_id", F.when(F.col("open"), F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("kept")).checkpoint()
+    state = cut(state.select("doc_id", F.when(F.col("open"), F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("kept")))
     before = None
     while left := state.filter("kept IS NULL").count():
         if left == before:
@@ -122,7 +134,7 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         told = pairs.join(state.select(F.col("doc_id").alias("a"), F.col("kept").alias("a_kept")), "a").groupBy(F.col("b").alias("doc_id"))
         told = told.agg(F.bool_or("a_kept").alias("hit"), F.bool_or(F.col("a_kept").isNull()).alias("wait"))
         decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.col("wait"), F.lit(None)).otherwise(True)
-        state = state.join(told, "doc_id", "left").select("doc_id", decided.alias("kept")).checkpoint()
+        state = cut(state.join(told, "doc_id", "left").select("doc_id", decided.alias("kept")))
     return state
 
 

@@ -35,18 +35,31 @@ def query_terms(queries: DataFrame, id_col: str = "item_id", text_col: str = "te
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df, to be broadcast if a count says that it has at most `most` rows; else Spark joins it by shuffling."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def query_weights(queries: DataFrame, chunks: DataFrame, query_id: str = "item_id") -> DataFrame:
+    """term, idf of the query terms that occur in any chunk, without postings of the other terms."""
+    n = chunks.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    terms = small(query_terms(queries, query_id).select("term").distinct())
+    found = chunks.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(terms, "term", "left_semi")
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf(n, F.col("df")).alias("idf"))
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k: int, scope: Column | None = None, id_col: str = "doc_id", query_id: str = "item_id") -> DataFrame:
     """query_id, doc_id, score, matched, rank. Statistics are those of all chunks, also when `scope` limits the results.
 
-    Only postings of query terms are shuffled: chunks are tokenised once, and the terms of the queries, which are few
-    beside the corpus, join them before anything is summed.
+    Only postings of query terms are shuffled: the terms of the queries, if they are few, go to every task of the chunks
+    and drop all other words before anything is summed or shuffled.
     """
-    stats = corpus_stats(chunks)
-    n, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
-    terms = query_terms(queries, query_id)
+    stats = corpus_stats(chunks).select(F.struct("n_docs", "avgdl").alias("s")).scalar()
+    n, avgdl = stats["n_docs"], stats["avgdl"]
+    terms = small(query_terms(queries, query_id))
     words = chunks.select(F.col(id_col).alias("id"), (F.lit(True) if scope is None else scope).alias("inside"), tokens(F.col("text")).alias("w"))
     words = words.select("id", "inside", F.greatest(F.size("w"), F.lit(1)).alias("dl"), F.explode("w").alias("term"))
-    post = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "term", "inside", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    post = words.join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("id", "term", "inside", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = idf(n, F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     scored = post.join(df, "term").filter("inside").select("id", "term", weight.alias("s"))

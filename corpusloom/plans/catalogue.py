@@ -95,7 +95,7 @@ def idf_coverage(t):
     docs = t("documents")
     n = docs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     hits = I.bm25(t("benchmark"), docs, 5)
-    found = I.coverage(hits, I.query_terms(t("benchmark")), I.idf_table(docs), n)
+    found = I.coverage(hits, I.query_terms(t("benchmark")), I.query_weights(t("benchmark"), docs), n)
     return hits.select("query_id", "doc_id", "rank").join(found, ["query_id", "doc_id"]).withColumn("coverage", F.round("coverage", 4))
 
 
@@ -354,7 +354,7 @@ def _hybrid(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     q, d = V.dense(asked, "item_id"), V.dense(docs)
     keyword = I.bm25(asked, docs, 30)
     n = docs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    covered = I.coverage(keyword, I.query_terms(asked), I.idf_table(docs), n)
+    covered = I.coverage(keyword, I.query_terms(asked), I.query_weights(asked, docs), n)
     queries = asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")).filter(F.trim("q") != "")
     return I.hybrid(V.knn(q, d, 30, others=False), keyword, covered, queries, docs.select("doc_id", "text")), q, d
 
