@@ -22,8 +22,8 @@ SHINGLE = 3
 #: Counters of the frequency sketch; they order tokens and never decide about a link.
 COUNTERS = 1 << 20
 BLOCK = 1 << 14
-#: Sets of up to so many shingles index pairs of frequent tokens; larger ones have prefixes long enough for single tokens.
-PAIRED = 320
+#: Tokens that the sketch counts in at most so many documents are rare, at any size; it never counts too few.
+RARE = 256
 #: 64-bit words of a set's parity, and of the second one that sets of LARGE and more shingles have.
 PARITY_WORDS, LARGE, LARGE_WORDS = 8, 1500, 64
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -97,26 +97,22 @@ def token_counts(found: DataFrame) -> np.ndarray:
 
 
 def prefix_keys(tokens: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
-    """The index keys of a set; level: 0 for rare tokens, higher the more frequent.
-
-    Two sets that link share all but a `percent`-th of either, so that in any one order of all tokens their prefixes of
-    n - ceil(percent n) + 2 tokens share two tokens. Rare tokens come first. If one of the two is rare, it is a key of
-    both; if both are frequent, their combination is. Sets of more than PAIRED tokens use single frequent tokens
-    instead, and so that they meet them, the sets that are just small enough to link with one use both.
+    """The index keys of a set; level: 0 for rare tokens, higher the more frequent. Two sets that link share a key.
+
+    In any one order of all tokens, here the rare ones first, the first token that two such sets share is among the
+    first n - ceil(percent n) + 1 of either: if it is rare, it is a key by itself. Otherwise all that they share is
+    frequent, and combinations of two neighbours in the order are keys, of a prefix that is about twice as long. A token
+    that only this set has parts two pairs of neighbours, one that only the other has parts one, and with m and e such
+    tokens 100 m + percent e <= (100 - percent) n. So at most 2 (100 - percent) n / 100 pairs are parted before the
+    first that is whole; the same holds from the other side, so that it is within both prefixes.
     """
     n = len(tokens)
-    short = n - (-(-percent * n // 100)) + 2
-    order = np.lexsort((tokens, level))[:short]
+    single, pairs = n - (-(-percent * n // 100)) + 1, 2 * (100 - percent) * n // 100 + 1
+    order = np.lexsort((tokens, level))[: pairs + 1]
     tokens, level = tokens[order], level[order]
-    keys = [tokens[level == 0]]
-    often = np.sort(tokens[level > 0])
+    often = tokens[level > 0]
     with np.errstate(over="ignore"):
-        if n <= PAIRED and len(often) > 1:
-            i, j = np.triu_indices(len(often), 1)
-            keys.append(mix(often[i] * _A + mix(often[j] * _B + _C)))
-        if 100 * n >= percent * PAIRED:
-            keys.append(mix(often ^ _C))
-    return np.concatenate(keys)
+        return np.concatenate((tokens[:single][level[:single] == 0], mix(often[:-1] * _A + mix(often[1:] * _B + _C))))
 
 
 def parity(tokens: np.ndarray, words_: int) -> np.ndarray:
@@ -127,7 +123,8 @@ def parity(tokens: np.ndarray, words_: int) -> np.ndarray:
 
 def index_keys(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
     """doc_id, n, parity, wide, keys of every document whose set can link with a different one."""
-    floor = 2 * counts.mean() + 64
+    if percent < 75:
+        raise ValueError("prefixes of token pairs need a percentage of 75 or more")
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers
     least = -(-100 // (100 - percent)) - 1  # smaller sets link with equal ones only
 
@@ -137,7 +134,7 @@ def index_keys(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> Dat
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
                 if len(s) >= least and doc is not None:
                     seen = shared.value[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                    level = np.where(seen > floor, 1 + np.log2(np.maximum(seen / floor, 1)).astype(np.int64), 0)
+                    level = np.where(seen > RARE, 1 + np.log2(np.maximum(seen / RARE, 1)).astype(np.int64), 0)
                     wide = parity(s, LARGE_WORDS) if len(s) >= LARGE else None
                     out.append((doc, len(s), parity(s, PARITY_WORDS), wide, prefix_keys(s, level, percent).view(np.int64)))
             doc, n, bits, wide, keys = zip(*out, strict=True) if out else ((), (), (), (), ())

@@ -170,15 +170,27 @@ def test_ngram_join(docs, empty, spark, sf_dir):
 
 
 def test_prefix_keys_lose_no_link():
-    rng = np.random.default_rng(3)
-    for n in (9, 10, 40, 300, 330, 360):
-        for _ in range(60):
-            x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-            y = np.unique(np.concatenate((rng.permutation(x)[: int(np.ceil(0.9 * n))], rng.integers(0, 2**63, rng.integers(0, 2)).astype(np.uint64))))
-            same = len(np.intersect1d(x, y))
-            if 100 * same >= 90 * (len(x) + len(y) - same):
-                level = lambda s: (s % np.uint64(5) < 4).astype(int)
-                assert len(np.intersect1d(ngram_join.prefix_keys(x, level(x), 90), ngram_join.prefix_keys(y, level(y), 90)))
+    rng, linked = np.random.default_rng(3), collections.Counter()
+    fresh = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    for percent in (75, 80, 90):
+        for n in (3, 4, 5, 9, 10, 19, 40, 41, 300, 330, 2000):
+            for trial in range(60):
+                x = np.unique(fresh(n))
+                most = (100 - percent) * n // 100
+                lost = [most, 0, rng.integers(0, most + 1)][trial % 3]
+                new = (100 * (n - lost) - percent * n) // percent
+                x_by_level = x[np.lexsort((x, x % np.uint64(5) < np.uint64(4)))]
+                # worst cases: tokens go at the head of the order, every second one or all, or anywhere
+                at = [np.arange(0, 2 * lost, 2)[:lost], np.arange(lost), rng.permutation(n)[:lost]][trial // 3 % 3]
+                y = np.unique(np.concatenate((np.delete(x_by_level, at[at < n]), fresh(max(new, 0)) >> np.uint64(rng.integers(0, 60)))))
+                same = len(np.intersect1d(x, y))
+                if 100 * same >= percent * (len(x) + len(y) - same):
+                    linked[percent] += 1
+                    share = rng.integers(0, 6)
+                    level = lambda s: (s % np.uint64(5) < np.uint64(share)).astype(int)  # noqa: E731, B023
+                    keys = [ngram_join.prefix_keys(s, level(s), percent) for s in (x, y)]
+                    assert len(np.intersect1d(*keys)) and len(keys[0]) <= 4 * (100 - percent) * n // 100 + 3
+    assert min(linked.values()) > 300 and len(linked) == 3
 
 
 def test_components(spark):
