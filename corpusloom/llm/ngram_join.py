@@ -228,3 +228,27 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END)) AS s FROM d
+), g AS (
+  SELECT s, min(doc_id) AS rep, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s
+), t AS (
+  SELECT rep, n, unnest(s) AS x FROM g
+), l AS (
+  SELECT p.rep AS a, q.rep AS b FROM t p JOIN t q ON p.x = q.x AND p.rep < q.rep AND 100 * least(p.n, q.n) >= 90 * greatest(p.n, q.n)
+  GROUP BY ALL HAVING 100 * count(*) >= 90 * (any_value(p.n) + any_value(q.n) - count(*))
+), r AS (
+  SELECT rep AS a, rep AS b FROM g
+  UNION
+  SELECT r.a, e.b FROM r JOIN (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) e ON e.a = r.b
+), c AS (
+  SELECT a AS rep, min(b) AS component FROM r GROUP BY 1
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(component, s.doc_id) AS component_id FROM s LEFT JOIN g ON g.s = s.s LEFT JOIN c USING (rep)
+"""

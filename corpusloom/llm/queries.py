@@ -17,4 +17,4 @@ QUERIES = {
     "op10_url_filters": url_filter.query,
 }
 
-SQL = {"op9_exact_dedup": exact.SQL, "op10_url_filters": url_filter.SQL}
+SQL = {"op6_ngram_jaccard_join": ngram_join.SQL, "op9_exact_dedup": exact.SQL, "op10_url_filters": url_filter.SQL}

@@ -166,6 +166,9 @@ def test_ngram_join(docs, empty, spark, sf_dir):
         want = clusters(sets, 90)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(table).collect()}
         assert got == {i: (len(s), want[i]) for i, s in sets.items()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    assert got == {i: (n, c) for i, n, c in con.execute(ngram_join.SQL).fetchall()}
     assert ngram_join.link_components(docs).count() == docs.count() and ngram_join.link_components(empty).count() == 0
 
 
