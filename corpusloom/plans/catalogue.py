@@ -11,6 +11,7 @@ from corpusloom.operators import conversation as C
 from corpusloom.operators import corpus as D
 from corpusloom.operators import index as I
 from corpusloom.operators import structure as U
+from corpusloom.operators import tables as B
 from corpusloom.operators import vectors as V
 from corpusloom.sources import load as L
 
@@ -461,3 +462,75 @@ def label_state(t):
     rows = t("documents").select("doc_id", "lang").join(t("labels"), "doc_id", "left")
     state = F.when(F.col("lang").isin("en", "de") & F.col("quality").isNull(), "open").when(F.col("quality").isNull(), "other").otherwise("labelled")
     return rows.select("doc_id", state.alias("state"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
+
+
+@query("""WITH e AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT user_id AS task_id, CASE WHEN event_type IN ('view', 'click') THEN 'failed' ELSE event_type END AS status, round(value / 100, 4) AS progress, ts AS updated_at, CASE WHEN event_type <> 'signup' THEN ts END AS finished_at FROM e""")
+def task_states(t):
+    """Every user's events as those of a task: a purchase or an error ends it, views and clicks are interrupted by a restart."""
+    events = t("events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.col("event_type").alias("status"), (F.col("value") / 100).alias("progress"))
+    return B.task_states(events, ("purchase", "error"), ("view", "click"), restarted=True)
+
+
+@query("""SELECT conv_id, coalesce(nullif(CASE WHEN len(q) > 30 THEN left(q, 29) || '…' ELSE q END, ''), '新会话') AS title
+FROM (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS q FROM conversations GROUP BY 1)""")
+def session_titles(t):
+    return B.session_titles(t("conversations"))
+
+
+_CLEARED = "c AS (SELECT conv_id FROM conversations GROUP BY 1 HAVING arg_max(role, turn) = 'user')"
+
+
+def _unanswered(t) -> DataFrame:
+    last = t("conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("role"))
+    return last.filter("role = 'user'").select("conv_id")
+
+
+@query(f"WITH {_CLEARED} SELECT conv_id, turn, role FROM conversations WHERE conv_id NOT IN (FROM c)")
+def clear_sessions(t):
+    return B.clear_sessions(t("conversations"), _unanswered(t))[0].select("conv_id", "turn", "role")
+
+
+@query(f"WITH {_CLEARED} SELECT conv_id, count(*) AS removed FROM conversations JOIN c USING (conv_id) GROUP BY 1")
+def cleared_counts(t):
+    return B.clear_sessions(t("conversations"), _unanswered(t))[1]
+
+
+@query("SELECT user_id, max(ts) AS updated_at, count(*) AS n FROM events GROUP BY 1 ORDER BY updated_at DESC, user_id")
+def session_listing(t):
+    return t("events").groupBy("user_id").agg(F.max("ts").alias("updated_at"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("updated_at"), "user_id")
+
+
+@query("SELECT DISTINCT source FROM documents ORDER BY source LIMIT 50")
+def distinct_sources(t):
+    return t("documents").select("source").distinct().orderBy("source").limit(50)
+
+
+@query("""SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"n_chars":' || n_chars || '}' AS row FROM documents""")
+def rows_as_json(t):
+    return t("documents").select("doc_id", B.as_json("doc_id", "lang", "n_chars").alias("row"))
+
+
+@query("""WITH n AS (SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM labels WHERE quality = 1) AS good, (SELECT count(*) FROM labels WHERE toxic = 1) AS toxic,
+(SELECT count(*) FROM embeddings) AS vectors, (SELECT count(DISTINCT conv_id) FROM conversations) AS sessions, (SELECT count(*) FROM conversations) AS messages,
+(SELECT count(*) FROM events) AS events, (SELECT coalesce(round(avg(value), 1), 0.0) FROM events) AS latency)
+SELECT n.*, doc_id, n_chars, rank FROM n, (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE n_chars > 0 QUALIFY rank <= 5)""")
+def overview(t):
+    """All counters in one row, repeated for each of the five longest documents."""
+    number = lambda df, c: df.agg(c.alias("x")).select("x").scalar()
+    rows = F.count(F.lit(1))
+    most = t("documents").filter("n_chars > 0").orderBy(F.desc("n_chars"), "doc_id").limit(5)
+    ranked = most.select("doc_id", "n_chars", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))  # five rows
+    return ranked.select(
+        number(t("documents"), rows).alias("documents"),
+        number(t("labels"), F.count_if(F.col("quality") == 1)).alias("good"),
+        number(t("labels"), F.count_if(F.col("toxic") == 1)).alias("toxic"),
+        number(t("embeddings"), rows).alias("vectors"),
+        number(t("conversations"), F.countDistinct("conv_id")).alias("sessions"),
+        number(t("conversations"), rows).alias("messages"),
+        number(t("events"), rows).alias("events"),
+        number(t("events"), F.coalesce(F.round(F.avg("value"), 1), F.lit(0.0))).alias("latency"),
+        "doc_id",
+        "n_chars",
+        "rank",
+    )

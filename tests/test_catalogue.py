@@ -17,6 +17,7 @@ from corpusloom.operators import structure as U
 from corpusloom.operators import vectors as V
 from corpusloom.plans.catalogue import QUERIES, SQL
 from corpusloom.plans.session import ship
+from corpusloom.operators import tables as B
 from corpusloom.sources import load as L
 from corpusloom.streaming import ingest
 
@@ -296,3 +297,24 @@ def test_answer_pieces(spark):
     assert [(r.doc_id, r.score) for r in A.merged(hits, 5).orderBy("rank").collect()] == [(1, 0.7), (2, 0.6)]
     assert A.supplement(hits.filter("doc_id = 1"), hits.withColumn("relevance", F.col("score"))).count() == 1
     assert A.within_chars(evidence.filter("query_id = 1"), 50).count() == 1 and one(spark, A.has_material(F.lit(None).cast("double"))) is False
+
+
+def test_tables(spark):
+    at = "cast('2024-01-0' || x || ' 00:00:00' as timestamp)"
+    rows = spark.createDataFrame([(1, 1, "queued", 0.0), (1, 2, "succeeded", 1.0), (2, 1, "running", 0.33336), (None, 1, "failed", 0.5)], "task_id long, x int, status string, progress double")
+    events = rows.select("task_id", F.col("x").alias("seq"), F.expr(at).alias("at"), "status", "progress")
+    got = {r.task_id: r for r in B.task_states(events).collect()}
+    assert {i: (r.status, r.progress, r.finished_at is None) for i, r in got.items()} == {1: ("succeeded", 1.0, False), 2: ("running", 0.3334, True), None: ("failed", 0.5, False)}
+    again = {r.task_id: r for r in B.task_states(events, restarted=True).collect()}
+    assert (again[2].status, again[2].finished_at) == ("failed", again[2].updated_at)
+    given = events.withColumn("finished_at", F.expr("timestamp'2020-01-01 00:00:00'"))
+    assert {r.finished_at.year for r in B.task_states(given).collect() if r.finished_at} == {2020}
+    messages = spark.createDataFrame([(1, 0, "user", "q" * 40), (1, 1, "assistant", "a"), (2, 0, "system", "s"), (3, 0, "user", ""), (4, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
+    assert {r.conv_id: r.title for r in B.session_titles(messages).collect()} == {1: "q" * 29 + "…", 2: B.UNTITLED, 3: B.UNTITLED, 4: "hi"}
+    titles = spark.createDataFrame([(1, B.UNTITLED), (4, "named"), (3, None)], "conv_id long, title string")
+    assert {r.conv_id: r.title for r in B.session_titles(messages, titles).collect()} == {1: "q" * 29 + "…", 2: B.UNTITLED, 3: B.UNTITLED, 4: "named"}
+    left, removed = B.clear_sessions(messages, spark.createDataFrame([(1,), (1,), (9,)], "conv_id long"))
+    assert sorted(r.conv_id for r in left.collect()) == [2, 3, 4] and {r.conv_id: r.removed for r in removed.collect()} == {1: 2, 9: 0}
+    wide = B.with_missing_columns(B.with_missing_columns(titles, messages.schema), messages.schema)
+    assert wide.columns == ["conv_id", "title", "turn", "role", "text"] and wide.filter("turn IS NULL").count() == 3
+    assert messages.filter("conv_id = 4").select(B.as_json("conv_id", "text").alias("x")).first().x == '{"conv_id":4,"text":"hi"}'
