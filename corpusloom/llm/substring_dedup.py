@@ -221,8 +221,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     parts = stored(texts.mapInArrow(_split, "doc_id long, word int, start int, stop int, node long, keys array<long>, places array<int>"))
     spots = parts.select(F.explode(F.arrays_zip("keys", "places")).alias("x")).groupBy(F.col("x.keys").alias("key"))
     spots = stored(spots.agg(F.min("x.places").alias("lo"), F.max("x.places").alias("hi")).filter("lo <> hi").select("key"))
-    keys = maybe_among(parts.select("node", F.explode("keys").alias("key")), "key", spots, MAP_WORDS)
-    live = stored(keys.join(spots, "key").select("key", "node").distinct())
+    # Combined before it is shuffled by key, so that the many places of a common paragraph come as one row.
+    keys = maybe_among(parts.select("node", F.explode("keys").alias("key")), "key", spots, MAP_WORDS).distinct()
+    live = stored(keys.join(spots, "key").select("key", "node"))
     comp = classes(parts, live, texts, percent)
     hot = live.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     rows = maybe_among(parts.drop("keys", "places"), "node", live.select("node"), MAP_WORDS).join(hot, "node")
