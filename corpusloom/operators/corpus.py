@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 from collections.abc import Iterator
+from itertools import combinations, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -85,21 +87,39 @@ def simhash_bands(hashes: DataFrame, bands: int = 4) -> DataFrame:
     return hashes.select("doc_id", F.posexplode(F.array(*[value(i) for i in range(bands)])).alias("band", "value"))
 
 
+def _masks(distance: int) -> list[int]:
+    """Every two of distance + 2 slices of 64 bits as a signed mask: `distance` different bits leave at least two slices equal."""
+    edges = [64 * i // (distance + 2) for i in range(distance + 3)]
+    slices = [(1 << hi) - (1 << lo) for lo, hi in pairwise(edges)]
+    return [m - (1 << 64) if m >> 63 else m for m in (x | y for x, y in combinations(slices, 2))]
+
+
 def near_classes(hashes: DataFrame, distance: int = 3, tolerance: float = 0.02) -> tuple[DataFrame, DataFrame]:
-    """The classes of equal (simhash, n_chars) with their smallest id as doc_id; and a, b (a < b), distance of near classes."""
-    bands = max(4, distance + 1)
-    width = 64 // bands
+    """The classes of equal (simhash, n_chars) with their smallest id as doc_id; and a, b (a < b), distance of near classes.
+
+    Candidates agree in two of distance + 2 slices, 25 bits for a distance of 3, and in a range of lengths, of which one
+    side takes every range that `tolerance` (below 1) reaches. A class of length 0 is compared at any length.
+    """
     groups = hashes.groupBy("simhash", "n_chars").agg(F.min("doc_id").alias("doc_id"))
-    keys = groups.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("simhash", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for i in range(bands)])).alias("band"))
-    close = "x.band = y.band AND x.doc_id < y.doc_id AND bit_count(x.simhash ^ y.simhash) <= {} AND (x.n_chars = 0 OR y.n_chars = 0 OR abs(x.n_chars - y.n_chars) <= {} * greatest(x.n_chars, y.n_chars))"
-    pairs = keys.alias("x").join(keys.alias("y"), F.expr(close.format(distance, tolerance)))
-    return groups, pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.expr("bit_count(x.simhash ^ y.simhash)").alias("distance")).distinct()
+    bands = groups.select("*", F.posexplode(F.array(*[F.col("simhash").bitwiseAND(F.lit(m)) for m in _masks(distance)])).alias("band", "value"))
+    near, width = -math.log(1 - tolerance) + 1e-9, max(-8 * math.log(1 - tolerance), 0.01)
+    size = lambda shift: F.floor((F.ln("n_chars") + shift) / width)
+    sized, empty = bands.filter("n_chars > 0"), bands.filter("n_chars = 0")
+    here = sized.withColumn("size", size(0.0))
+    around = sized.withColumn("size", F.explode(F.sequence(size(-near), size(near))))
+    apart = "bit_count(x.simhash ^ y.simhash)"
+    close = f"x.band = y.band AND x.value = y.value AND {apart} <= {distance}"
+    pair = [F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.expr(apart).alias("distance")]
+    long = f"x.size = y.size AND x.doc_id < y.doc_id AND abs(x.n_chars - y.n_chars) <= {tolerance} * greatest(x.n_chars, y.n_chars)"
+    pairs = around.alias("x").join(here.alias("y"), F.expr(f"{close} AND {long}")).select(pair)
+    odd = empty.alias("x").join(bands.alias("y"), F.expr(f"{close} AND x.doc_id <> y.doc_id")).select(pair)
+    return groups, pairs.union(odd).distinct()
 
 
 def near_pairs(hashes: DataFrame, distance: int = 3, tolerance: float = 0.02) -> DataFrame:
     """a, b (a < b), distance: pairs of documents within `distance` bits and `tolerance` in length.
 
-    Equal hashes are merged first, so that copies don't fill a band; distance + 1 bands, at least four, lose no pair.
+    Equal hashes are merged first, so that copies don't fill a band; `near_classes` loses no pair.
     Documents with equal hashes are paired with the smallest of them.
     """
     groups, pairs = near_classes(hashes, distance, tolerance)

@@ -132,7 +132,7 @@ def doc_dup_policy(t):
 
 
 _SIMHASH = f"""
-tk AS (SELECT doc_id, t, count(*) AS tf, ('0x' || md5(t)[1:16])::UBIGINT AS h FROM (SELECT doc_id, unnest({_TOKENS}) AS t FROM documents) GROUP BY ALL),
+tk AS (SELECT doc_id, t, count(*) AS tf, ('0x' || md5(t)[1:16])::UBIGINT AS h FROM (SELECT doc_id, unnest(CASE WHEN len({_TOKENS}) = 0 AND text <> '' THEN string_split(lower(text), '') ELSE {_TOKENS} END) AS t FROM documents) GROUP BY ALL),
 vt AS (SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN tf ELSE -tf END) AS v FROM tk, range(64) AS r(b) GROUP BY ALL),
 sv AS (SELECT doc_id, sum(CASE WHEN v > 0 THEN (1::HUGEINT << b) ELSE 0 END) AS u FROM vt GROUP BY 1),
 sh AS (SELECT d.doc_id, len(text) AS n_chars, (CASE WHEN coalesce(u, 0) >= (1::HUGEINT << 63) THEN u - (1::HUGEINT << 64) ELSE coalesce(u, 0) END)::BIGINT AS simhash FROM documents d LEFT JOIN sv USING (doc_id))
@@ -141,7 +141,7 @@ sh AS (SELECT d.doc_id, len(text) AS n_chars, (CASE WHEN coalesce(u, 0) >= (1::H
 
 @query(f"WITH {_SIMHASH} SELECT doc_id, simhash FROM sh")
 def doc_simhash(t):
-    return D.simhash(t("documents")).select("doc_id", "simhash")
+    return D.simhash(t("documents"), characters=True).select("doc_id", "simhash")
 
 
 @query(f"""WITH {_SIMHASH}, p AS (SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.simhash, y.simhash)) AS distance FROM sh x JOIN sh y ON x.doc_id < y.doc_id
@@ -149,7 +149,7 @@ WHERE bit_count(xor(x.simhash, y.simhash)) <= 3 AND (x.n_chars = 0 OR y.n_chars
 g AS (SELECT simhash, n_chars, min(doc_id) AS rep FROM sh GROUP BY ALL), r AS (SELECT doc_id, rep FROM sh JOIN g USING (simhash, n_chars))
 SELECT a, b, distance::BIGINT AS distance FROM p JOIN r ra ON ra.doc_id = a JOIN r rb ON rb.doc_id = b WHERE (ra.rep = a AND rb.rep = b) OR (ra.rep = rb.rep AND ra.rep = a)""")
 def doc_near_dups(t):
-    return D.near_pairs(D.simhash(t("documents"))).withColumn("distance", F.col("distance").cast("long"))
+    return D.near_pairs(D.simhash(t("documents"), characters=True)).withColumn("distance", F.col("distance").cast("long"))
 
 
 _KNN = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id % 50 = 0),
@@ -174,14 +174,25 @@ def token_counts(t):
     return t("documents").select("doc_id", F.size(T.tokens(F.col("text"), True)).alias("n_all"), F.size(T.tokens(F.col("text"))).alias("n_kept"))
 
 
-@query("""SELECT item_id, len(list_filter(list_transform(string_split_regex(text, '[!?;\n]'), lambda x: trim(x)), lambda x: x <> '')) AS n FROM benchmark WHERE NOT regexp_matches(text, '[!?;]')""")
+_SENTENCES = r"""list_filter(list_transform(regexp_extract_all(text, '[^。！？!?…；;\n]*[。！？!?…；;\n][”’」』）)\]"'']*|[^。！？!?…；;\n]+'),
+lambda x: regexp_replace(x, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')), lambda x: x <> '')"""
+
+
+@query(f"SELECT doc_id, len({_SENTENCES}) AS n, md5(array_to_string({_SENTENCES}, chr(10))) AS md5 FROM documents")
 def sentences(t):
-    return t("benchmark").filter(~F.col("text").rlike("[!?;]")).select("item_id", F.size(T.sentences(F.col("text"))).alias("n"))
+    found = t("documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return found.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "\n")).alias("md5"))
+
 
+_CHARS = "string_split(lower(regexp_replace(text, '[ \\t\u00a0\u3000]+', ' ', 'g')), '')"
 
-@query("""SELECT item_id, sum(greatest(len(text) - n + 1, 0))::BIGINT AS n_grams FROM benchmark, range(1, 4) AS r(n) GROUP BY 1""")
+
+@query(f"""WITH c AS (SELECT doc_id, {_CHARS} AS c FROM documents),
+g AS (SELECT doc_id, list_concat(c, list_concat([c[i] || c[i + 1] for i in range(1, len(c))], [c[i] || c[i + 1] || c[i + 2] for i in range(1, len(c) - 1)])) AS g FROM c)
+SELECT doc_id, len(g) AS n_grams, md5(array_to_string(g, chr(10))) AS md5 FROM g""")
 def char_ngrams(t):
-    return t("benchmark").select("item_id", F.size(T.char_ngrams(F.col("text"))).cast("long").alias("n_grams"))
+    found = t("documents").select("doc_id", T.char_ngrams(F.col("text")).alias("g"))
+    return found.select("doc_id", F.size("g").cast("long").alias("n_grams"), F.md5(F.array_join("g", "\n")).alias("md5"))
 
 
 @query("SELECT doc_id, CASE WHEN len(text) > 120 THEN left(replace(text, chr(10), ' '), 119) || '…' ELSE replace(text, chr(10), ' ') END AS preview FROM documents")
@@ -334,7 +345,7 @@ def hash_embed_sparse(t):
     return I.hash_features(t("documents")).withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(f"SELECT doc_id, len({_SENTENCES}) AS n FROM documents")
 def doc_sentences(t):
     return t("documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("n"))
 
@@ -346,7 +357,7 @@ def clean_page_numbers(t):
 
 @query()
 def simhash_bands(t):
-    return D.simhash_bands(D.simhash(t("documents")))
+    return D.simhash_bands(D.simhash(t("documents"), characters=True))
 
 
 def _hybrid(t) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """The catalogue's queries against DuckDB, and functions and sources on hand-made cases."""
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -93,6 +94,32 @@ def test_greedy_brute_force(spark, sf_dir, tmp_path):
     assert {r.doc_id: r.kept for r in D.greedy_keep(spark.range(1, 61).toDF("doc_id"), pairs).collect()} == {i: i % 2 == 1 for i in range(1, 61)}
 
 
+def test_near_pairs_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for base in (rng.getrandbits(64) for _ in range(40)):
+        for _ in range(6):
+            h = base
+            for b in rng.sample(range(64), rng.randrange(5)):
+                h ^= 1 << b
+            n = rng.choice([0, 1, 50, 98, 99, 100, 101, 102, 1000, 1020, 1021, None])
+            rows.append((len(rows), h - (1 << 64) if h >> 63 else h, n))
+    rows += [(len(rows) + i, *rows[i][1:]) for i in range(0, 40, 3)]
+    first = {}
+    for i, h, n in rows:
+        first.setdefault((h, n), i)
+    for distance in (0, 3, 5):
+        want = {(first[h, n], i, 0) for i, h, n in rows if n is not None and first[h, n] != i}
+        for (h, n), i in first.items():
+            for (g, m), j in first.items():
+                d = ((g ^ h) % (1 << 64)).bit_count()
+                sized = 0 in (n, m) or (None not in (n, m) and abs(n - m) <= 0.02 * max(n, m))
+                want |= {(i, j, d)} if i < j and d <= distance and sized else set()
+        hashes = spark.createDataFrame(rows, "doc_id long, simhash long, n_chars int")
+        got = [tuple(r) for r in D.near_pairs(hashes, distance).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_simhash_of_characters(spark):
     docs = spark.createDataFrame([(1, "!?!"), (2, ""), (3, None), (4, "The")], "doc_id long, text string")
     votes = lambda t: sum(1 << b for b in range(64) if sum(1 if int(hashlib.md5(c.encode()).hexdigest()[:16], 16) >> b & 1 else -1 for c in t) > 0)
