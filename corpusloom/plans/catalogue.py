@@ -249,7 +249,10 @@ def read_document_prefix(t):
     return D.read_prefix(D.packed_chunks(t("documents"))).select("doc_id", "ordinal", "n_chars", "total")
 
 
-@query()
+@query(f"""WITH {_SIMHASH}, l AS (SELECT list([{{'i': doc_id, 'h': simhash, 'n': n_chars}}] ORDER BY doc_id) AS l FROM sh),
+k AS (SELECT list_transform(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: bit_count(xor(y.h, x[1].h)) <= 3
+  AND (y.n = 0 OR x[1].n = 0 OR abs(y.n - x[1].n) <= 0.02 * greatest(y.n, x[1].n)))) > 0 THEN acc ELSE list_concat(acc, x) END), lambda x: x.i) AS k FROM l)
+SELECT doc_id, list_contains(k, doc_id) AS kept FROM sh, k""")
 def doc_greedy_dedup(t):
     return D.greedy_dedup(D.simhash(t("documents"), characters=True))
 
@@ -355,7 +358,7 @@ def clean_page_numbers(t):
     return D.page_numbers(t("documents"))
 
 
-@query()
+@query(f"WITH {_SIMHASH} SELECT doc_id, b::INT AS band, ((simhash >> (16 * b::INT)) & 65535)::BIGINT AS value FROM sh, range(4) AS r(b)")
 def simhash_bands(t):
     return D.simhash_bands(D.simhash(t("documents"), characters=True))
 
