@@ -174,8 +174,19 @@ def token_counts(t):
     return t("documents").select("doc_id", F.size(T.tokens(F.col("text"), True)).alias("n_all"), F.size(T.tokens(F.col("text"))).alias("n_kept"))
 
 
-_SENTENCES = r"""list_filter(list_transform(regexp_extract_all(text, '[^。！？!?…；;\n]*[。！？!?…；;\n][”’」』）)\]"'']*|[^。！？!?…；;\n]+'),
-lambda x: regexp_replace(x, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')), lambda x: x <> '')"""
+_PIECES = r"""regexp_extract_all(text, '[^。！？!?…；;\n]*[。！？!?…；;\n][”’」』）)\]"'']*|[^。！？!?…；;\n]+')"""
+_HEAD, _TAIL = r"'^[ \t\n\x0b\f\r]+'", r"'[ \t\n\x0b\f\r]+$'"
+_SENTENCES = f"list_filter(list_transform({_PIECES}, lambda x: regexp_replace(regexp_replace(x, {_HEAD}, ''), {_TAIL}, '')), lambda x: x <> '')"
+_CHUNKS = f"""
+r AS (SELECT doc_id, {_PIECES} AS r FROM documents),
+m AS (SELECT doc_id, unnest(r) AS s, generate_subscripts(r, 1) AS i FROM r),
+e AS (SELECT doc_id, i, (sum(len(s)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT - len(regexp_replace(s, {_HEAD}, '')) AS a,
+  len(regexp_replace(regexp_replace(s, {_HEAD}, ''), {_TAIL}, '')) AS n FROM m),
+l AS (SELECT doc_id, list([{{'a': a, 'b': a + n}}] ORDER BY i) AS l FROM e WHERE n > 0 GROUP BY doc_id),
+k AS (SELECT doc_id, list_reduce(l, lambda acc, x: CASE WHEN x[1].b - acc[-1].a > 600 THEN list_concat(acc, x)
+  ELSE list_concat(acc[1:len(acc) - 1], [{{'a': acc[-1].a, 'b': x[1].b}}]) END) AS k FROM l),
+c AS (SELECT doc_id, ordinal, x.a AS start, x.b - x.a AS n_chars FROM (SELECT doc_id, generate_subscripts(k, 1) - 1 AS ordinal, unnest(k) AS x FROM k))
+"""
 
 
 @query(f"SELECT doc_id, len({_SENTENCES}) AS n, md5(array_to_string({_SENTENCES}, chr(10))) AS md5 FROM documents")
@@ -232,19 +243,19 @@ def url_syntax_guard(t):
     return t("pages").select("page_id", L.url_verdict(F.col("url")).alias("verdict"))
 
 
-@query()
+@query(f"WITH {_CHUNKS} SELECT doc_id, count(*) AS n_chunks, sum(n_chars)::BIGINT AS n_chars FROM c GROUP BY doc_id")
 def fixed_pack_chunks(t):
     chunks = D.packed_chunks(t("documents"))
     return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_chars").alias("n_chars"))
 
 
-@query()
+@query(f"WITH {_CHUNKS} SELECT doc_id, h.ordinal AS hit_ordinal, c.ordinal, c.n_chars FROM c JOIN c h USING (doc_id) WHERE h.ordinal = 1 AND abs(c.ordinal - h.ordinal) <= 1")
 def chunk_window(t):
     chunks = D.packed_chunks(t("documents"))
     return D.chunk_window(chunks, chunks.filter("ordinal = 1").select("doc_id", "ordinal"), 1).select("doc_id", "hit_ordinal", "ordinal", "n_chars")
 
 
-@query()
+@query(f"WITH {_CHUNKS}, p AS (SELECT doc_id, ordinal, n_chars, (sum(n_chars) OVER (PARTITION BY doc_id ORDER BY ordinal))::BIGINT AS total FROM c) SELECT * FROM p WHERE total <= 12000 OR ordinal = 0")
 def read_document_prefix(t):
     return D.read_prefix(D.packed_chunks(t("documents"))).select("doc_id", "ordinal", "n_chars", "total")
 
