@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clusters, exact, langid, ngram_join, packing, pieces, pii, quality_model, quality_rules, substring_dedup, url_filter, vector_codes
+from . import clusters, exact, langid, ngram_join, packing, pieces, pii, quality_model, quality_rules, substring_dedup, token_files, url_filter, vector_codes
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.query,
     "op9_exact_dedup": exact.query,
     "op10_url_filters": url_filter.query,
+    "op11_token_files": token_files.query,
     "op12_vector_codes": vector_codes.query,
     "op13_centroid_clusters": clusters.query,
 }
@@ -23,6 +24,7 @@ SQL = {
     "op6_ngram_jaccard_join": ngram_join.SQL,
     "op9_exact_dedup": exact.SQL,
     "op10_url_filters": url_filter.SQL,
+    "op11_token_files": token_files.query,
     "op12_vector_codes": vector_codes.SQL,
     "op13_centroid_clusters": clusters.SQL,
 }
