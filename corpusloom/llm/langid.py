@@ -29,6 +29,11 @@ _PLAIN[97:123] = np.arange(97, 123)
 _PLAIN[65:91] = np.arange(97, 123)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's category L; numbers such as ² or Ⅷ are not, though they count as word characters."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Every fifth document by the CRC of its id; a null id is held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
@@ -40,6 +45,7 @@ def gram_counts(texts: pa.Array, buckets: int = BUCKETS, plain: np.ndarray = _PL
     raw = plain[raw]
     keep = np.ones(len(raw), bool)
     keep[1:] = (raw[1:] != 32) | (raw[:-1] != 32)
+    keep[bounds[:-1][bounds[:-1] < len(raw)]] = True
     kept = np.concatenate(([0], np.cumsum(keep)))
     raw, bounds = raw[keep].astype(np.uint32), kept[bounds]
     few = max(1, (4 << 20) // buckets)
@@ -137,7 +143,7 @@ def _decided(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarra
     if model is not None:
         for at, counts in gram_counts(texts, model.weights.shape[0]):
             best[at : at + len(counts)], score[at : at + len(counts)] = model.decode(counts)
-    letters = [model is not None and t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()]
+    letters = [model is not None and t is not None and has_letter(t) for t in texts.to_pylist()]
     names = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters, strict=True)]
     return names, np.where(letters, score, 0.0)
 
@@ -145,7 +151,7 @@ def _decided(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarra
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score, ambiguous.
 
-    Only the text counts. lang_pred is `und`, with score 0, for a null text, one without a letter, and without a model.
+    Only the row's own text counts. Of languages whose codewords are as near, the first in the alphabet is chosen. lang_pred is `und`, with score 0, for a null text, one without a letter, and without a model.
     ambiguous: und, or a score below CLEAR. Null and repeated ids have rows of their own; other columns are ignored.
     """
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import clusters, queries, token_files, vector_codes
+from corpusloom.llm import clusters, langid, pii, quality_model, queries, token_files, vector_codes
 from corpusloom.llm.common import shared_dir
 from corpusloom.plans.session import ship
 
@@ -217,3 +217,88 @@ def test_clusters(spark):
     assert sorted(r.cluster for r in few) in ([0, 0, 2], [0, 1, 1], [0, 0, 1]) and all(r.distance == 0 for r in few)
     assert clusters.cluster(vectors(spark, odd)).count() == 0 and clusters.cluster(vectors(spark, [])).count() == 0
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("loom_")]
+
+
+def test_pii_long_runs_of_digits(spark):
+    import time
+
+    model = pii.Trees([], 20.0, 0.5)
+    cases = ["0" * 5000 + "1.2.3.4", "1." * 2000 + "1", "7" * 2_000_000, "a@b.cc " * 20_000, "key-1234567890abc " * 20_000, "x" * 1000 + " 00300.1.1.1"]
+    for text in cases:
+        begin = time.perf_counter()
+        good, added = pii.all_spans(text, model)
+        assert time.perf_counter() - begin < 20
+    assert ("ip", 0, 5007) in pii.base_spans(cases[0])[0] and not pii.base_spans(cases[-1])[0]
+    got = pii.find_pii(ship(spark).createDataFrame(list(enumerate(cases)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert got[0].n_ip == 1 and got[3].n_email == 20_000
+
+
+def test_pii_threshold():
+    p, t = np.array([0.9] * 4 + [0.8] * 6 + [0.7] * 90 + [0.4] * 10), np.array([1] * 4 + [1] * 6 + [1] * 80 + [0] * 10 + [1] * 10)
+    for seed in range(5):
+        order = np.random.default_rng(seed).permutation(len(p))
+        assert pii.lowest_score(p[order], t[order], 0.95) == 0.8
+    assert pii.lowest_score(p, t, 0.85) == 0.7 and pii.lowest_score(p, 0 * t, 0.5) == 2.0
+
+
+def test_pii_precision_and_secrets(spark):
+    import re
+
+    docs = ship(spark).read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pii.fit(docs)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    good = bad = 0
+    for text in set(texts.values()):
+        base, failed = pii.base_spans(text)
+        for span in pii.candidates(text) if pii.worth(text) else []:
+            label = pii.weak_label(text, span, pii.Held(base), pii.Held(failed))
+            own = not any(a < span[2] and span[1] < b for _, a, b in base)
+            if own and label is not None and model.of(text).score(np.array([pii.features(text, span)]))[0] >= model.threshold:
+                good, bad = good + label, bad + 1 - label
+    assert good >= 0.99 * (good + bad) > 10
+    for r in pii.find_pii(docs, model).collect():
+        found = set(r.spans.split(","))
+        for m in re.finditer(r'token = "([^"]+)"', texts[r.doc_id]):
+            assert f"secret:{m.start(1)}:{m.end(1)}" in found
+    mixed = pii.fit(docs.orderBy(F.desc("doc_id")).repartition(5))
+    assert mixed == model
+
+
+def test_decided_by_own_text(spark, sf_dir):
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([(90000 + i, t) for i, t in enumerate(["²³½", "①②", "Ⅷ", "  the end ", " 12 the", "... le "] * 20)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").union(odd)
+    model = langid.fit(docs)
+    by = [{r.doc_id: (r.lang_pred, r.score) for r in langid.predict(rows.repartition(n), model).collect()} for n in (1, 3, 7)]
+    assert by[0] == by[1] == by[2]
+    assert all(by[0][90000 + i] == ("und", 0.0) for i in range(120) if i % 6 < 3)
+    scores = [{r.doc_id: round(r.score, 9) for r in quality_model.quality_scores(rows.repartition(n)).collect()} for n in (1, 7)]
+    assert scores[0] == scores[1]
+
+
+def test_codewords_by_brute_force():
+    rng = np.random.default_rng(2)
+    for k in (1, 2, 5, 9):
+        code = langid.codewords(k)
+        trust = rng.random(code.shape)
+        model = langid.Model([f"l{i}" for i in range(k)], code, rng.normal(size=(50, code.shape[1])), trust / np.maximum(trust.sum(1, keepdims=True), 1e-9))
+        counts = rng.integers(0, 4, (30, 50)).astype(float)
+        best, score = model.decode(counts)
+        for row, b, s in zip(counts, best, score, strict=True):
+            if k == 1:
+                assert (b, s) == (0, 1.0)
+                continue
+            margin = [sum(c * w for c, w in zip(row, model.weights[:, j], strict=True)) * min(row.sum(), langid.FULL_EVIDENCE) / row.sum() for j in range(code.shape[1])]
+            loss = [sum(t * np.log1p(np.exp(-c * m)) for t, c, m in zip(model.trust[i], code[i], margin, strict=True)) for i in range(k)]
+            assert b == int(np.argmin(loss)) and s == pytest.approx(np.exp(-min(loss)) / sum(np.exp(-x) for x in loss))
+
+
+def test_near_dedup_by_row(spark, sf_dir):
+    import corpus_pipeline as P
+
+    a = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, a), (7, a + " more"), (7, "a text of its own that nothing else is like"), (7, None), (7, None), (9, a + " still more"), (None, a), (3, "same words here"), (3, "same words here")]
+    docs = ship(spark).createDataFrame([(*r, "en", "s", 1, "x", True) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, key string, flag boolean")
+    got = P.near_dedup(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(1, a), (7, rows[2][1]), (7, ""), (0, a), (3, "same words here")])
