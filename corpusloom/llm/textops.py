@@ -62,7 +62,7 @@ EDGE[[*range(65, 91), *range(97, 123)]] = 1
 EDGE[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = 2
 
 
-def _letters(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def letters(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where an ASCII or Latin-1 letter ends, and where one starts."""
     ends, starts = EDGE[raw] == 1, EDGE[raw] == 1
     lead = np.flatnonzero(raw[:-1] == 0xC3)
@@ -84,7 +84,7 @@ def words(texts: pa.Array, lower: bool = False, punctuation: bool = False) -> Wo
     starts = np.flatnonzero(solid & (~before | first[:-1]))
     after = np.concatenate((solid[1:], [False])) if len(raw) else solid
     if punctuation and len(raw):
-        letter_ends, letter_starts = _letters(raw)
+        letter_ends, letter_starts = letters(raw)
         mark = EDGE[raw] == 2
         cut = np.flatnonzero((letter_ends[:-1] & mark[1:]) | (mark[:-1] & letter_starts[1:])) + 1
         first[cut] = True

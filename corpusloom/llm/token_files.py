@@ -140,12 +140,15 @@ def tokenizer_path() -> str:
 _WIDE_WHITE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 
-def cuts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Where the pieces of all texts start: at texts' starts and before ASCII white space that follows anything else than white space.
+def cuts(raw: np.ndarray, bounds: np.ndarray, punctuation: bool = True) -> np.ndarray:
+    """Where the pieces of all texts start: at texts' starts, before ASCII white space that follows anything else than
+    white space, and with `punctuation` between an ASCII or Latin-1 letter and ASCII punctuation other than an apostrophe.
 
     The tokenizer splits a text there whatever comes before and after, so a text's ids are those of its pieces.
     """
     start = np.zeros(len(raw), bool)
+    if not len(raw):
+        return np.flatnonzero(start)
     white = textops.WHITE[raw]
     start[1:] = white[1:] & ~white[:-1]
     wide = np.flatnonzero(start)
@@ -155,6 +158,10 @@ def cuts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         for i, byte in enumerate(reversed(mark), 1):
             hit = hit[raw[hit - i] == byte]
         start[hit] = False
+    if punctuation:
+        letter_ends, letter_starts = textops.letters(raw)
+        mark = textops.EDGE[raw] == 2
+        start[1:] |= (letter_ends[:-1] & mark[1:]) | (mark[:-1] & letter_starts[1:])
     start[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
     return np.flatnonzero(start)
 
@@ -194,11 +201,12 @@ class PieceIds:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
         raw, bounds = textops.utf8(texts)
-        starts = cuts(raw, bounds)
+        # Where the string of a special token may occur, it must stay whole.
+        starts = cuts(raw, bounds, punctuation=not pc.any(pc.match_substring(texts, "<|")).as_py())
         w = textops.coded(raw, starts, np.append(starts[1:], len(raw))[: len(starts)], bounds)
         names = w.distinct.cast(pa.large_string())
         place = pc.fill_null(pc.index_in(names, self.known), -1).to_numpy().astype(np.int64)
-        single = pc.match_substring_regex(names, r"^ [!-;=-~]+$").to_numpy(zero_copy_only=False)
+        single = pc.match_substring_regex(names, r"^ (?:[a-zA-ZÀ-ÖØ-öø-ÿ]+|[!-;=-~]+)$").to_numpy(zero_copy_only=False)
         pools, sizes, known = [self.ids], [self.lengths], len(self.known)
         for new, encode in ((np.flatnonzero((place < 0) & single), self._spaced), (np.flatnonzero((place < 0) & ~single), self._encoded)):
             ids, n = encode(names.take(pa.array(new)).to_pylist())
