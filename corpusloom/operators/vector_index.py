@@ -73,10 +73,11 @@ class VectorIndex:
     def create(cls, vectors: DataFrame, folder: str, cells: int | None = None, k: int = 10, recall: float = RECALL, sample: int = SAMPLE) -> VectorIndex:
         """An index of vectors (id, v). cells: by default the square root of their number, at most MOST_CELLS."""
         spark = vectors.sparkSession
-        rows = vectors.filter("id IS NOT NULL AND v IS NOT NULL").select("id", "v")
+        rows = vectors.filter("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL)").select("id", "v")
         few = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
         dim = len(min(few, key=lambda r: r["id"])["v"]) if few else 0
-        found = np.array([r["v"] for r in few if len(r["v"]) == dim], float).reshape(-1, dim)
+        own = [r["v"] for r in few if len(r["v"]) == dim]
+        found = np.array(own, float).reshape(len(own), dim)
         wanted = cells or min(MOST_CELLS, int(np.sqrt(rows.count())))
         centroids = learn(found, max(1, min(wanted, len(found)))) if len(found) else np.zeros((1, dim))
         probes = probes_for(found, centroids, k, recall) if len(found) > 1 else 1
@@ -98,12 +99,12 @@ class VectorIndex:
 
     def _celled(self, rows: DataFrame, most: int) -> DataFrame:
         """Rows (id, v) with cells: the numbers of the `most` nearest centroids, the nearest first."""
-        centroids = self.centroids
+        centroids, dim = self.centroids, self.state["dim"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+                    v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, dim)
                     near = np.argsort(-(v @ centroids.T), axis=1, kind="stable")[:, :most].astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1]), pa.int32()), pa.array(near.ravel()))
                     yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", "v", "cells"])
@@ -111,7 +112,7 @@ class VectorIndex:
         return rows.mapInArrow(run, "id long, v array<float>, cells array<int>")
 
     def _fitting(self, rows: DataFrame) -> DataFrame:
-        fits = (F.size("v") == self.state["dim"]) & F.forall("v", lambda x: x.isNotNull())
+        fits = (F.size("v") == self.state["dim"]) & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull())
         return rows.filter("id IS NOT NULL AND v IS NOT NULL").filter(fits).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v"))
 
     def live(self) -> DataFrame:
