@@ -10,10 +10,12 @@ from corpusloom.operators import answers as A
 from corpusloom.operators import conversation as C
 from corpusloom.operators import corpus as D
 from corpusloom.operators import index as I
+from corpusloom.operators import search as S
 from corpusloom.operators import structure as U
 from corpusloom.operators import tables as B
 from corpusloom.operators import vectors as V
 from corpusloom.sources import load as L
+from corpusloom.sources.snapshots import stored
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -109,13 +111,10 @@ g AS (SELECT query_id, doc_id, round(0.6 * s + 0.4 * least(1, list_sum(list_tran
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g) WHERE rank <= 6""")
 def lexical_rerank(t):
     hits = I.bm25(t("benchmark"), t("documents"), 20)
-    s = F.col("score") / F.max("score").over(Window.partitionBy("query_id"))
-    rows = hits.withColumn("s", s).join(t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id")
-    rows = rows.join(t("documents").select("doc_id", "text"), "doc_id").withColumn("qw", F.array_distinct(T.tokens(F.col("q"))))
-    size = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.length(x))
-    share = size("matched") / size("qw")
-    phrase = F.when((F.length("q") >= 4) & F.col("text").contains(F.col("q")), 0.15).otherwise(0.0)
-    return I.top(rows.select("query_id", "doc_id", F.round(0.6 * F.col("s") + 0.4 * F.least(F.lit(1.0), share + phrase), 6).alias("score")), 6)
+    scaled = hits.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy("query_id")))
+    rows = scaled.join(t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id")
+    rows = rows.join(t("documents").select("doc_id", "text", F.lit(None).cast("string").alias("heading")), "doc_id").withColumnRenamed("matched", "words")
+    return I.top(S.rerank(rows).select("query_id", "doc_id", "score"), 6)
 
 
 @query("""WITH g AS (SELECT md5(text) AS content_hash, min(doc_id) AS keep_id, count(*) AS n FROM documents GROUP BY 1)
@@ -374,27 +373,79 @@ def simhash_bands(t):
     return D.simhash_bands(D.simhash(t("documents"), characters=True))
 
 
-def _hybrid(t) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The gated shortlist of every question, and the vectors of questions and documents."""
-    docs, asked = t("documents"), t("benchmark")
-    q, d = V.dense(asked, "item_id"), V.dense(docs)
-    keyword = I.bm25(asked, docs, 30)
-    n = docs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    covered = I.coverage(keyword, I.query_terms(asked), I.query_weights(asked, docs), n)
-    queries = asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")).filter(F.trim("q") != "")
-    return I.hybrid(V.knn(q, d, 30, others=False), keyword, covered, queries, docs.select("doc_id", "text")), q, d
+def _questions(t) -> tuple[DataFrame, DataFrame]:
+    """The questions, and all documents with the first 60 characters of their text as heading."""
+    asked = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    return asked, t("documents").select("doc_id", "text", F.substring("text", 1, 60).alias("heading"))
+
+
+def _by_number(t) -> tuple[DataFrame, DataFrame]:
+    """Vectors of questions and documents that SQL has, too: those of the same number; other documents have none."""
+    v = lambda: t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return v().join(t("benchmark").select(F.col("item_id").alias("id")), "id", "left_semi"), v()
 
 
 @query()
 def hybrid_fuse(t):
-    return _hybrid(t)[0].filter("rank <= 6")
+    asked, docs = _questions(t)
+    near = V.knn(V.dense(t("benchmark"), "item_id"), V.dense(docs), S.CANDIDATES, others=False)
+    return S.shortlist(asked, docs, near).filter("rank <= 6").select("query_id", "doc_id", "score", "relevance", "rank")
 
 
 @query()
 def mmr_select(t):
-    short, q, d = _hybrid(t)
-    rows = short.join(q.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id").join(d.select(F.col("id").alias("doc_id"), "v"), "doc_id")
-    return V.mmr(rows.select("query_id", "doc_id", "score", "qv", "v"), 6)
+    asked, docs = _questions(t)
+    return S.search(asked, docs, V.dense(t("benchmark"), "item_id"), stored(V.dense(docs)))
+
+
+_WORDS_OF = lambda x: _TOKENS.replace("lower(text)", f"lower({x})")
+_SIZE = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: greatest(1, len(y)))), 0)"
+_SEARCH = f"""WITH {_BM25},
+v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+b AS MATERIALIZED (SELECT item_id AS query_id, text AS q FROM benchmark WHERE trim(text) <> ''),
+k AS (SELECT query_id, doc_id, score AS kw FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 30),
+s AS (SELECT query_id, x.vec_id AS doc_id, round(list_cosine_similarity(y.e, x.e), 6) AS sem FROM b JOIN v y ON y.vec_id = query_id, v x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sem DESC, doc_id) <= 30),
+u AS (SELECT query_id, doc_id, greatest(coalesce(sem, 0), 0) AS sem, coalesce(kw, 0) AS kw FROM s FULL JOIN k USING (query_id, doc_id)),
+f AS MATERIALIZED (SELECT *, round(0.6 * CASE WHEN max(sem) OVER w > 0 THEN sem / max(sem) OVER w ELSE 0 END + 0.4 * CASE WHEN max(kw) OVER w > 0 THEN kw / max(kw) OVER w ELSE 0 END, 6) AS fused FROM u WINDOW w AS (PARTITION BY query_id)),
+w AS (SELECT query_id, q.t, CASE WHEN df IS NULL THEN NULL ELSE ln(1 + (n - df + 0.5) / (df + 0.5)) END AS idf, ln(1 + (n + 0.5) / 0.5) AS most FROM q LEFT JOIN df USING (t), st),
+a AS (SELECT query_id, sum(idf) + count(*) FILTER (idf IS NULL) * least(any_value(most), avg(idf)) AS whole, list({{'t': t, 'i': idf}}) FILTER (idf IS NOT NULL) AS known FROM w GROUP BY 1),
+g AS MATERIALIZED (SELECT f.query_id, f.doc_id, b.q, dd.text, dd.text[1:60] AS heading, d.w AS words,
+  round(fused + CASE WHEN len(b.q) >= 2 AND contains(dd.text, trim(regexp_replace(b.q, '\\s+', ' ', 'g'))) THEN least(0.12, 1 - fused) ELSE 0 END, 6) AS score,
+  round(0.6 * sem + 0.4 * CASE WHEN whole > 0 THEN coalesce(list_sum(list_transform(known, lambda z: CASE WHEN list_contains(d.w, z.t) THEN z.i ELSE 0 END)), 0) / whole ELSE 0 END, 6) AS relevance
+  FROM f JOIN b USING (query_id) JOIN d USING (doc_id) JOIN documents dd USING (doc_id) LEFT JOIN a USING (query_id)),
+sl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g WHERE relevance >= 0.18 QUALIFY rank <= 20)"""
+
+
+@query(_SEARCH + " SELECT query_id, doc_id, score, relevance, rank FROM sl")
+def search_shortlist(t):
+    """Every question's gated shortlist, over vectors that SQL has, too."""
+    asked, docs = _questions(t)
+    return S.shortlist(asked, docs, V.knn(*_by_number(t), S.CANDIDATES, others=False)).select("query_id", "doc_id", "score", "relevance", "rank")
+
+
+def _search_sql(k: int) -> str:
+    """The reranked shortlist, then k steps of marginal relevance."""
+    own, text, head = _WORDS_OF("q"), "words", _WORDS_OF("heading")
+    share = lambda w: _SIZE(f"list_intersect(ow, {w})") + " / greatest(1, " + _SIZE("ow") + ")"
+    sql = f"""{_SEARCH},
+o AS (SELECT *, list_distinct({own}) AS ow, {head} AS hw FROM sl),
+rr AS MATERIALIZED (SELECT o.query_id, o.doc_id, round(CASE WHEN len(ow) = 0 THEN score ELSE 0.6 * score + 0.4 * least(1, {share(text)}
+  + CASE WHEN len(q) >= 4 AND contains(text, q) THEN 0.15 ELSE 0 END + 0.2 * ({share("hw")})) END, 6) AS score, v.e, coalesce(list_cosine_similarity(v.e, y.e), 0) AS near
+  FROM o LEFT JOIN v ON v.vec_id = o.doc_id LEFT JOIN v y ON y.vec_id = o.query_id),
+s0 AS (SELECT *, -1.0::DOUBLE AS red FROM rr),
+c0 AS (SELECT query_id, doc_id, score, e, 0 AS rank FROM s0 WHERE false)"""
+    for i in range(1, k + 1):
+        value = "round(0.7 * score + 0.3 * near" + (" - 0.3 * greatest(red, 0)" if i > 1 else "") + ", 9)"
+        sql += f""",
+c{i} AS MATERIALIZED (SELECT query_id, doc_id, score, e, {i} AS rank FROM s{i - 1} WHERE red < 0.96 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {value} DESC, score DESC, doc_id) = 1),
+s{i} AS MATERIALIZED (SELECT s.query_id, s.doc_id, s.score, s.e, s.near, greatest(s.red, coalesce(list_cosine_similarity(s.e, c.e), 0)) AS red FROM s{i - 1} s JOIN c{i} c USING (query_id) WHERE s.doc_id <> c.doc_id)"""
+    return sql + " SELECT query_id, doc_id, score, rank FROM (" + " UNION ALL ".join(f"SELECT query_id, doc_id, score, rank FROM c{i}" for i in range(1, k + 1)) + ")"
+
+
+@query(_search_sql(6))
+def search_whole(t):
+    """Candidates, gate, reranker with headings, marginal relevance."""
+    return S.search(*_questions(t), *_by_number(t))
 
 
 @query(r"""WITH l AS (SELECT doc_id, len(text) AS n0, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
