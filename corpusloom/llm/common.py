@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -87,6 +88,16 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
             at = to
 
 
+def small_steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """As `steps`, for operators whose arrays are many times as large as their texts; when all are done, the worker, which
+    later tasks use again, gives the memory that it no longer needs back to the machine."""
+    yield from steps(batches, text, most)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def maybe_among(rows: DataFrame, id_col: str, ids: DataFrame, words: int = 1 << 16, keep: bool = True) -> DataFrame:
     """The rows whose id may be in the first column of `ids`, without a shuffle of the rows; with keep=False the others.
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, table
+from .common import small_steps, table
 from .textops import utf8
 
 BUCKETS = 8192
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         from pyspark import TaskContext
 
         sums: dict[str, np.ndarray] = {}
-        for batch in steps(batches, most=8 << 20):
+        for batch in small_steps(batches):
             langs = np.array(batch.column(1).to_pylist(), object)
             for at, counts in gram_counts(batch.column(0), buckets):
                 own = langs[at : at + len(counts)]
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text", 8 << 20):
+        for batch in small_steps(batches):
             names, score = _decided(batch.column(2), model)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(score < CLEAR)],
@@ -171,7 +171,7 @@ def keep_clear(docs: DataFrame, model: Model | None, text_col: str = "text", lan
     """The rows of `docs` whose own text has a clear language, with all columns; lang_col becomes the predicted language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text_col, 8 << 20):
+        for batch in small_steps(batches, text_col):
             names, score = _decided(batch.column(batch.schema.get_field_index(text_col)), model)
             at = batch.schema.get_field_index(lang_col)
             batch = batch.set_column(at, batch.schema.field(at), pa.array(names, batch.schema.field(at).type))

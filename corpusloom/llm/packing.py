@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import steps, stored, table
+from .common import small_steps, stored, table
 
 WINDOW = 2048
 #: Tokens that one task packs. A lane is a group of documents chosen by a hash of their ids, so it has a share of every source.
@@ -102,7 +102,7 @@ def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = WordIds(path)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in steps(batches, most=12 << 20):
+        for batch in small_steps(batches, most=6 << 20):
             flat, n = ids_of(batch.column(2))
             ends = np.cumsum(n)
             rows = [flat[b - k : b].tobytes() + end for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
