@@ -87,7 +87,7 @@ def simhash_bands(hashes: DataFrame, bands: int = 4) -> DataFrame:
     return hashes.select("doc_id", F.posexplode(F.array(*[value(i) for i in range(bands)])).alias("band", "value"))
 
 
-def _masks(distance: int) -> list[int]:
+def pair_masks(distance: int) -> list[int]:
     """Every two of distance + 2 slices of 64 bits as a signed mask: `distance` different bits leave at least two slices equal."""
     edges = [64 * i // (distance + 2) for i in range(distance + 3)]
     slices = [(1 << hi) - (1 << lo) for lo, hi in pairwise(edges)]
@@ -101,7 +101,7 @@ def near_classes(hashes: DataFrame, distance: int = 3, tolerance: float = 0.02)
     side takes every range that `tolerance` (below 1) reaches. A class of length 0 is compared at any length.
     """
     groups = hashes.groupBy("simhash", "n_chars").agg(F.min("doc_id").alias("doc_id"))
-    bands = groups.select("*", F.posexplode(F.array(*[F.col("simhash").bitwiseAND(F.lit(m)) for m in _masks(distance)])).alias("band", "value"))
+    bands = groups.select("*", F.posexplode(F.array(*[F.col("simhash").bitwiseAND(F.lit(m)) for m in pair_masks(distance)])).alias("band", "value"))
     near, width = -math.log(1 - tolerance) + 1e-9, max(-8 * math.log(1 - tolerance), 0.01)
     size = lambda shift: F.floor((F.ln("n_chars") + shift) / width)
     sized, empty = bands.filter("n_chars > 0"), bands.filter("n_chars = 0")
