@@ -128,7 +128,7 @@ class VectorIndex:
         seg, fresh = self.state["next"], self._fitting(vectors)
         if self.state["vectors"]:
             fresh.select("id").distinct().write.mode("overwrite").parquet(f"{self.folder}/gone/seg={seg}")
-        placed = self._celled(fresh, 1).select("id", "v", F.col("cells")[0].alias("cell"))
+        placed = snapshots.stored(self._celled(fresh, 1).select("id", "v", F.col("cells")[0].alias("cell")))  # dealing by ranges reads it twice
         placed.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").write.mode("overwrite").parquet(f"{self.folder}/vectors/seg={seg}")
         gone = [*self.state["gone"], seg] if self.state["vectors"] else []
         self._commit(next=seg + 1, vectors=[*self.state["vectors"], seg], gone=gone)
