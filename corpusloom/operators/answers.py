@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import sentences, tokens
-from corpusloom.operators.conversation import aspects
+from corpusloom.operators.conversation import COMPARE, aspects
 
 # A citation, what makes a sentence a mere tail of the one before, its ends, the reply without material, and patterns of compared things.
 CITATION = r"\[(\d{1,2})\]"
@@ -14,7 +14,6 @@ TAIL = r"^[\s\-*+>|　]*\[\d{1,2}\]"
 SENTENCE_ENDS = "。！？!?…；;"
 NO_MATERIAL = "暂无相关资料"
 REFERENCES = "**参考来源**"
-COMPARE_WORDS = r"(对比|比较|区别|差异|异同|优劣|优缺点|哪个更好|哪个好|相比|vs\.?|VS)"
 FILLERS = "(之间的|的|有哪些|是什么|怎么样|如何|请|帮我|一下)"
 BETWEEN = r"(?:和|与|跟|、|vs\.?|VS|VS\.)"
 ASKING_END = "(之间|有什么区别|有什么不同|有什么|有哪些|是什么|怎么样|怎么|如何|哪些|哪个|什么|区别|差异)+$"
@@ -106,7 +105,8 @@ def extract_answers(questions: DataFrame, evidence: DataFrame, most: int = 5) ->
 
     questions: query_id, q. A word weighs ln((n + 1) / (sentences with it + 1)) + 0.1 among the question's n candidate
     sentences; a sentence's score is the weight of the question's words in it over that of all. Where no sentence shares
-    a word, the first one of each of the first two pieces of evidence stands in with score 0.
+    a word, the first one of each of the first two pieces of evidence stands in with score 0, provided that any sentence
+    of the evidence has words; else the question has no row.
     """
     rows = _candidates(evidence).withColumn("w", F.array_distinct(tokens(F.col("s"))))
     worded = rows.filter(F.size("w") > 0)
@@ -122,7 +122,8 @@ def extract_answers(questions: DataFrame, evidence: DataFrame, most: int = 5) ->
     one = Window.partitionBy("query_id", "s").orderBy(F.desc("score"), "idx", "pos")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "idx", "pos")
     picked = scored.withColumn("r", F.row_number().over(one)).filter("r = 1").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most).drop("r")
-    first = rows.filter("idx <= 2").join(picked.select("query_id").distinct(), "query_id", "left_anti").groupBy("query_id", "idx")
+    # Without any sentence that has words, there is no material, and nothing stands in.
+    first = rows.filter("idx <= 2").join(n.select("query_id"), "query_id", "left_semi").join(picked.select("query_id").distinct(), "query_id", "left_anti").groupBy("query_id", "idx")
     first = first.agg(F.min_by(F.struct("pos", "document", "s"), "pos").alias("x")).select("query_id", "idx", "x.pos", "x.document", "x.s", F.lit(0.0).alias("score"))
     return picked.unionByName(first).select("query_id", "idx", "document", F.col("s").alias("sentence"), "score")
 
@@ -139,6 +140,12 @@ def evidence_block(idx: Column, document: Column, heading: Column) -> Column:
     return F.concat(F.lit("["), idx.cast("string"), F.lit("] 文档："), document, F.lit("｜章节："), F.coalesce(heading, F.lit("无章节")))
 
 
+def parsed_block(block: Column) -> Column:
+    """struct(idx, document, heading) of the head of a piece of evidence, as `evidence_block` makes it."""
+    part = lambda i: F.regexp_extract(block, r"^\[(\d+)\] 文档：(.*?)｜章节：([^\n]*)", i)
+    return F.struct(part(1).cast("int").alias("idx"), part(2).alias("document"), part(3).alias("heading"))
+
+
 def has_material(best: Column, least: float = 0.2) -> Column:
     return F.coalesce(best >= least, F.lit(False))
 
@@ -195,7 +202,7 @@ def merged(hits: DataFrame, k: int) -> DataFrame:
 
 def compare_targets(question: Column) -> Column:
     """Up to three things that a question compares, of 2 to 24 characters each."""
-    core = F.regexp_replace(F.regexp_replace(question, COMPARE_WORDS, " "), FILLERS, " ")
+    core = F.regexp_replace(F.regexp_replace(question, COMPARE, " "), FILLERS, " ")
     edge = lambda x, chars: F.regexp_replace(x, f"^[{chars}]+|[{chars}]+$", "")
     clean = lambda x: F.trim(edge(F.regexp_replace(edge(F.trim(x), "?？。！!，,、 　"), ASKING_END, ""), "的了呢吗么?？。！!，,、 　"))
     return F.slice(F.filter(F.transform(F.split(core, BETWEEN), clean), lambda x: (F.length(x) > 1) & (F.length(x) <= 24)), 1, 3)

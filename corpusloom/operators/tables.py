@@ -54,6 +54,23 @@ def clear_sessions(messages: DataFrame, cleared: DataFrame) -> tuple[DataFrame,
     return messages.join(ids, "conv_id", "left_anti"), removed
 
 
+def sessions_touched(sessions: DataFrame, touched: DataFrame) -> DataFrame:
+    """sessions (conv_id, title, summary, summarized_upto, updated_at, ..) after touches of the same columns: updated_at
+    always counts, the others where they are given; a title has at most 200 characters."""
+    new = touched.select("conv_id", *(F.col(c).alias(f"_{c}") for c in ("title", "summary", "summarized_upto", "updated_at")))
+    rows = sessions.join(new, "conv_id", "left")
+    changed = {c: F.coalesce(f"_{c}", c) for c in ("summary", "summarized_upto", "updated_at")} | {"title": F.coalesce(F.substring("_title", 1, 200), "title")}
+    return rows.withColumns(changed).select(sessions.columns)
+
+
+def sessions_cleared(sessions: DataFrame, cleared: DataFrame) -> DataFrame:
+    """sessions after some (conv_id, updated_at) have lost their messages: no summary, nothing summarised, no messages."""
+    rows = sessions.join(cleared.select("conv_id", F.col("updated_at").alias("_at")), "conv_id", "left")
+    gone = F.col("_at").isNotNull()
+    reset = {"summary": F.when(~gone, F.col("summary")), "summarized_upto": F.when(gone, 0).otherwise(F.col("summarized_upto")), "message_count": F.when(gone, 0).otherwise(F.col("message_count")), "updated_at": F.coalesce("_at", "updated_at")}
+    return rows.withColumns(reset).select(sessions.columns)
+
+
 def with_missing_columns(table: DataFrame, schema: StructType) -> DataFrame:
     """`table` with every column of `schema` that it lacks, whatever the case of its name, as nulls; twice is the same as once."""
     have = {c.lower() for c in table.columns}

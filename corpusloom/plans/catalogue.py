@@ -496,7 +496,7 @@ sd AS (SELECT cand.query_id, cand.idx, cand.pos, document, s, round(got / whole,
 p1 AS (SELECT * FROM sd QUALIFY row_number() OVER (PARTITION BY query_id, s ORDER BY score DESC, idx, pos) = 1),
 p2 AS (SELECT * FROM p1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, idx, pos) <= 5)
 SELECT query_id, idx, document, md5(s) AS sentence, score FROM p2
-UNION ALL SELECT query_id, idx, document, md5(arg_min(s, pos)), 0.0 FROM s2 WHERE idx <= 2 AND query_id NOT IN (SELECT query_id FROM p2) GROUP BY ALL""")
+UNION ALL SELECT query_id, idx, document, md5(arg_min(s, pos)), 0.0 FROM s2 WHERE idx <= 2 AND query_id IN (SELECT query_id FROM cand) AND query_id NOT IN (SELECT query_id FROM p2) GROUP BY ALL""")
 def extractive_answer(t):
     return A.extract_answers(*_evidence(t)).withColumn("sentence", F.md5("sentence"))
 
