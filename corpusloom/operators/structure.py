@@ -39,28 +39,28 @@ def clean_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     numbers; wrapped lines; runs of punctuation, blanks and empty lines; blanks around lines. A line joins the one before
     it, without a separator, if that is 12 characters or more, joined lines included, and doesn't end a sentence, and
     neither is a table row nor this one a heading, quote or list item; whether it joins follows from its run of lines
-    that may join, so no line waits for another. Ids must not repeat. Null counts as empty.
+    that may join, so no line waits for another. Null and repeated ids are rows of their own. Null counts as empty.
     """
-    raw = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
-    rows = raw.select("doc_id", F.regexp_replace(without_invisible(nfkc("raw")), r"(?m)[ \t\f\x0B\u00a0\u3000]+$", "").alias("t"))
-    lines = cleaned_lines(rows, "doc_id", "t")
-    doc = Window.partitionBy("doc_id").orderBy("pos")
-    kept = lines.filter(~F.col("dropped")).select("doc_id", "pos", "fenced", stripped(F.col("line")).alias("line"))
+    raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
+    # A row's lines are known by its place, and carry what its result needs, so that nothing is joined by id.
+    row = F.struct(F.monotonically_increasing_id().alias("at"), "id", F.length("raw").alias("original_chars"))
+    rows = raw.select(row.alias("doc_id"), F.regexp_replace(without_invisible(nfkc("raw")), r"(?m)[ \t\f\x0B\u00a0\u3000]+$", "").alias("t"))
+    lines = cleaned_lines(rows, "doc_id", "t").select("doc_id", "pos", "fenced", "dropped", stripped(F.col("line")).alias("line"))
+    # Dropped lines are as good as not there: windows are over the others.
+    doc = Window.partitionBy("doc_id", "dropped").orderBy("pos")
     before, line = F.lag("line").over(doc), F.col("line")
     open_ = ~F.lit(SENTENCE_TAIL).contains(F.substring(before, -1, 1)) & ~line.rlike(KEPT_LINE) & ~line.startswith("#")
     may = (F.coalesce(before, F.lit("")) != "") & (line != "") & open_ & ~F.col("fenced")
-    kept = kept.withColumn("may", F.coalesce(may, F.lit(False))).withColumn("long", (F.length("line") >= 12) & ~line.startswith("|"))
+    kept = lines.withColumn("may", F.coalesce(may, F.lit(False))).withColumn("long", (F.length("line") >= 12) & ~line.startswith("|"))
     kept = kept.withColumn("run", F.sum((~F.col("may")).cast("int")).over(doc))
-    run = Window.partitionBy("doc_id", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("doc_id", "dropped", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     kept = kept.withColumn("joins", F.col("may") & F.coalesce(F.max("long").over(run), F.lit(False)))
-    piece = F.concat(F.when(F.col("joins"), "").otherwise("\n"), "line")
-    whole = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", piece.alias("p")))).alias("ps"), F.count_if("joins").alias("merged_lines"))
+    piece = F.when(~F.col("dropped"), F.struct("pos", F.concat(F.when(F.col("joins"), "").otherwise("\n"), "line").alias("p")))
+    whole = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(piece)).alias("ps"), F.count_if(F.col("joins") & ~F.col("dropped")).alias("merged_lines"), F.count_if("dropped").alias("dropped_lines"))
     text = F.array_join(F.transform("ps", lambda x: x["p"]), "")
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, PUNCTUATION_RUN, "$1"), BLANK_RUN, " "), "\n{3,}", "\n\n")
     text = F.regexp_replace(stripped(F.regexp_replace(text, r"(?m)^[ \u00a0\u3000]+|[ \u00a0\u3000]+$", "")), "\n{3,}", "\n\n")
-    gone = lines.groupBy("doc_id").agg(F.count_if("dropped").alias("dropped_lines"))
-    out = raw.select("doc_id", F.length("raw").alias("original_chars")).join(whole.select("doc_id", text.alias("cleaned"), "merged_lines"), "doc_id", "left").join(gone, "doc_id")
-    out = out.select("doc_id", F.coalesce("cleaned", F.lit("")).alias("cleaned"), "original_chars", "dropped_lines", F.coalesce("merged_lines", F.lit(0)).alias("merged_lines"))
+    out = whole.select(F.col("doc_id.id").alias("doc_id"), text.alias("cleaned"), F.col("doc_id.original_chars").alias("original_chars"), "dropped_lines", "merged_lines")
     n = F.length("cleaned")
     ratio = F.when(F.col("original_chars") == 0, 0.0).otherwise(F.round(1 - n / F.col("original_chars"), 4))
     return out.select("doc_id", "cleaned", "original_chars", n.alias("cleaned_chars"), "dropped_lines", "merged_lines", ratio.alias("removed_ratio"))

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.json import extract_json
+from corpusloom.operators import answers as A
 from corpusloom.operators import index as I
 from corpusloom.operators import memory as M
+from corpusloom.operators import structure as U
 from corpusloom.operators import vectors as V
 from corpusloom.operators.chunk_store import ChunkStore
 from corpusloom.operators.fingerprints import FingerprintIndex
@@ -334,3 +336,15 @@ def test_turns_stream(spark, tmp_path):
     run(TN.saver(spark, f"{tmp_path}/t"))
     assert TN.read(spark, f"{tmp_path}/t", "messages").count() == 34 and TN.read(spark, f"{tmp_path}/t", "qa_logs").distinct().count() == 17
     assert sorted((r.session_id, r.title) for r in TN.sessions(spark, f"{tmp_path}/t").collect()) == [(0, "question 0"), (1, "question 1"), (2, "question 2")]
+
+
+def test_clean_rows_of_any_id(spark):
+    rows = [(None, "one\n\n\n\ntwo"), (1, "first of two"), (1, "second of two\n- 3 -"), (None, None), (2, "")]
+    got = U.clean_text(ship(spark).createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted((r.doc_id or 0, r.cleaned, r.original_chars, r.dropped_lines) for r in got) == [(0, "", 0, 0), (0, "one\n\ntwo", 10, 0), (1, "first of two", 12, 0), (1, "second of two", 19, 1), (2, "", 0, 0)]
+
+
+def test_no_material(spark):
+    asked = ship(spark).createDataFrame([(1, "what is it"), (2, "alpha")], "query_id long, q string")
+    evidence = spark.createDataFrame([(1, 1, "...... ?!?!?!", "d"), (2, 1, "beta gamma delta", "d")], "query_id long, idx int, content string, document string")
+    assert [(r.query_id, r.sentence, r.score) for r in A.extract_answers(asked, evidence).collect()] == [(2, "beta gamma delta", 0.0)]
