@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import hex_to_long, tokens
+from corpusloom.operators.graph import components
 
 # Lines that repetition never removes, and what a page number looks like.
 KEPT_LINE = r"^(#{1,6}\s|>\s|[-*+]\s|\d+[.)]\s|\||```)"
@@ -138,24 +139,61 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+#: Rounds over all open documents before components are settled by themselves, and pairs of a component that one task settles.
+ROUNDS, SETTLED_PAIRS = 4, 500_000
+
+
+def _settle(rows: pd.DataFrame) -> pd.DataFrame:
+    """Decides the documents of a component in id order. rows: pairs a, b of open documents, and whether a kept one drops either."""
+    before: dict[int, list[int]] = {}
+    hit: dict[int, bool] = {}
+    for a, b, a_hit, b_hit in rows[["a", "b", "a_hit", "b_hit"]].itertuples(index=False):
+        before.setdefault(b, []).append(a)
+        hit[a], hit[b] = a_hit, b_hit
+    kept: dict[int, bool] = {}
+    for doc in sorted(hit):
+        kept[doc] = not hit[doc] and not any(kept[x] for x in before.get(doc, ()))
+    return pd.DataFrame({"doc_id": list(kept), "kept": list(kept.values())})
+
+
+def _settled(state: DataFrame, pairs: DataFrame, told: DataFrame, most: int) -> DataFrame:
+    """doc_id, kept of the open documents whose component among the open ones has at most `most` pairs."""
+    open_ = cut(state.filter("kept IS NULL").select("doc_id").join(told.select("doc_id", "hit"), "doc_id").select("doc_id", F.coalesce("hit", F.lit(False)).alias("hit")))
+    end = lambda c: open_.select(F.col("doc_id").alias(c), F.col("hit").alias(f"{c}_hit"))
+    inside = cut(pairs.join(end("a"), "a").join(end("b"), "b"))
+    sized = inside.join(components(inside, cut).withColumnRenamed("node", "a"), "a")
+    few = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most).select("component")
+    done = sized.join(few, "component", "left_semi").groupBy("component").applyInPandas(_settle, "doc_id long, kept boolean")
+    ends = inside.select(F.col("a").alias("doc_id")).union(inside.select("b"))
+    return done.union(open_.join(ends, "doc_id", "left_anti").select("doc_id", (~F.col("hit")).alias("kept")))
+
+
+def greedy_keep(nodes: DataFrame, pairs: DataFrame, rounds: int = ROUNDS, settled_pairs: int = SETTLED_PAIRS) -> DataFrame:
     """doc_id, kept: in id order, a document is dropped if a kept earlier one is its pair (a < b); a dropped one drops no other.
 
-    Each round decides the documents whose earlier partners are all decided, until none is open.
+    Only documents in pairs have a state. A round decides those whose earlier partners are all decided. What is open
+    after `rounds` of them, such as long chains of versions, is cut into components, and one task each settles those of
+    at most `settled_pairs` pairs; larger ones go on in rounds.
     """
     pairs = cut(pairs.select("a", "b"))
-    state = nodes.select("doc_id").join(pairs.select(F.col("b").alias("doc_id")).distinct().withColumn("open", F.lit(True)), "doc_id", "left")
+    later = pairs.select(F.col("b").alias("doc_id")).distinct().withColumn("open", F.lit(True))
+    state = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().join(later, "doc_id", "left")
     state = cut(state.select("doc_id", F.when(F.col("open"), F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("kept")))
-    before = None
+    before, turn = None, 0
     while left := state.filter("kept IS NULL").count():
         if left == before:
             raise RuntimeError(f"{left} documents wait for one another: pairs need a < b")
-        before = left
+        before, turn = left, turn + 1
         told = pairs.join(state.select(F.col("doc_id").alias("a"), F.col("kept").alias("a_kept")), "a").groupBy(F.col("b").alias("doc_id"))
         told = told.agg(F.bool_or("a_kept").alias("hit"), F.bool_or(F.col("a_kept").isNull()).alias("wait"))
+        if turn == rounds + 1:
+            done = cut(_settled(state, pairs, told, settled_pairs)).withColumnRenamed("kept", "now")
+            state = cut(state.join(done, "doc_id", "left").select("doc_id", F.coalesce("kept", "now").alias("kept")))
+            before = None  # it may have been nothing that was small enough
+            continue
         decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.col("wait"), F.lit(None)).otherwise(True)
         state = cut(state.join(told, "doc_id", "left").select("doc_id", decided.alias("kept")))
-    return state
+    return nodes.select("doc_id").join(state, "doc_id", "left").select("doc_id", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def greedy_dedup(hashes: DataFrame, distance: int = 3, tolerance: float = 0.02) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.json import extract_json
 from corpusloom.operators import answers as A
+from corpusloom.operators import corpus as D
 from corpusloom.operators import index as I
 from corpusloom.operators import memory as M
 from corpusloom.operators import structure as U
@@ -348,3 +349,20 @@ def test_no_material(spark):
     asked = ship(spark).createDataFrame([(1, "what is it"), (2, "alpha")], "query_id long, q string")
     evidence = spark.createDataFrame([(1, 1, "...... ?!?!?!", "d"), (2, 1, "beta gamma delta", "d")], "query_id long, idx int, content string, document string")
     assert [(r.query_id, r.sentence, r.score) for r in A.extract_answers(asked, evidence).collect()] == [(2, "beta gamma delta", 0.0)]
+
+
+def test_long_chains_settle_in_few_rounds(spark, tmp_path, monkeypatch):
+    ship(spark).sparkContext.setCheckpointDir(str(tmp_path))
+    rng = random.Random(3)
+    pairs = {(i, i + 1) for i in range(1, 2000)} | {(3000 + i, 3000 + i + 1 + rng.randrange(3)) for i in range(40)} | {(5000, 5000 + i) for i in range(1, 9)}
+    kept = {}
+    for i in range(1, 5100):
+        kept[i] = not any(kept[a] for a in range(max(1, i - 2000), i) if (a, i) in pairs)
+    nodes, table = spark.range(1, 5100).toDF("doc_id"), spark.createDataFrame(sorted(pairs), "a long, b long").repartition(4)
+    made = []
+    whole = D.cut
+    monkeypatch.setattr(D, "cut", lambda df: made.append(1) or whole(df))
+    assert {r.doc_id: r.kept for r in D.greedy_keep(nodes, table).collect()} == kept and len(made) < 50
+    assert {r.doc_id: r.kept for r in D.greedy_keep(nodes, table.filter("a > 2500"), rounds=1, settled_pairs=5).collect()} == kept | {i: True for i in range(1, 2500)}
+    with pytest.raises(RuntimeError):
+        D.greedy_keep(nodes, spark.createDataFrame([(2, 1), (1, 2)], "a long, b long")).collect()
