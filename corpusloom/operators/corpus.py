@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import hex_to_long, tokens
+from corpusloom.functions.text import SENTENCE, hex_to_long, tokens
 from corpusloom.operators.graph import components
 
 # Lines that repetition never removes, and what a page number looks like.
@@ -212,6 +212,20 @@ def greedy_dedup(hashes: DataFrame, distance: int = 3, tolerance: float = 0.02)
 _SENTENCE = re.compile("[^。！？!?…；;\n]*(?:[。！？!?…；;\n][”’」』）)\\]\"']*|$)")
 
 
+def sentence_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ordinal, start, n_chars, content of the sentences of every text: text[start : start + n_chars] is the content.
+
+    A null id's rows count as one text.
+    """
+    pieces = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(SENTENCE), F.lit(0))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(pieces).alias("pos", "piece"))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    head = F.length(F.regexp_extract("piece", r"^\s*", 0))
+    rows = rows.select("doc_id", "pos", (F.sum(F.length("piece")).over(order) - F.length("piece") + head).alias("start"), F.regexp_replace("piece", r"^\s+|\s+$", "").alias("content"))
+    rows = rows.filter("content <> ''")
+    return rows.select("doc_id", (F.row_number().over(order) - 1).alias("ordinal"), "start", F.length("content").alias("n_chars"), "content")
+
+
 def packed_chunks(docs: DataFrame, size: int = 600, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ordinal, start, content, n_chars: sentences packed in order while a chunk's span stays within `size` characters.
 

@@ -13,7 +13,8 @@ from corpusloom.operators import evaluation as E
 from corpusloom.operators import index as I
 from corpusloom.operators import search as S
 from corpusloom.operators import tables as B
-from corpusloom.plans.catalogue import _BM25, _CHUNKS, QUERIES, SQL, query  # noqa: F401
+from corpusloom.plans.catalogue import _BM25, _CHUNKS, _EVIDENCE, _SEARCH, QUERIES, SQL, _evidence, query  # noqa: F401
+from corpusloom.plans.catalogue import daily_counts, search_shortlist
 from corpusloom.sources import load as L
 
 _INTENTS = ("你好，", "知识库里有多少文档 ", "对比这两个 ", "总结一下 ", "其一，其二，其三，其四 ", "为什么？怎么办？", "并且 ", "问 ")
@@ -189,3 +190,42 @@ def session_updates(t):
     sessions = rows.select("conv_id", F.lit("t").alias("title"), F.concat(F.lit("sum "), "conv_id").alias("summary"), "summarized_upto", "message_count", F.lit(1).alias("updated_at"))
     touched = sessions.filter("conv_id % 4 = 2").select("conv_id", F.concat(F.lit("title "), F.repeat(F.lit("x"), 300)).alias("title"), F.lit("new").alias("summary"), (F.col("summarized_upto") + 1).alias("summarized_upto"), F.lit(9).alias("updated_at"))
     return B.sessions_cleared(B.sessions_touched(sessions, touched), sessions.filter("conv_id % 4 = 1").select("conv_id", F.lit(9).alias("updated_at")))
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS ordinal, a::BIGINT AS start, n::INT AS n_chars FROM e WHERE n > 0")
+def sentence_offsets(t):
+    return D.sentence_offsets(t("documents")).select("doc_id", "ordinal", "start", "n_chars")
+
+
+@query(_SEARCH + " SELECT query_id, count(*) AS n, round(max(relevance), 4) AS relevance FROM sl GROUP BY 1")
+def search_summary(t):
+    """How many pieces of evidence every question finds, and how relevant the best is."""
+    found = search_shortlist(t)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("relevance"), 4).alias("relevance"))
+
+
+@query(f"""{_EVIDENCE}, t AS (SELECT *, sum(len(content)) OVER (PARTITION BY query_id ORDER BY idx) AS total FROM ev) SELECT query_id, idx, document, md5(content) AS content FROM t WHERE total <= 8000 OR idx = 1""")
+def reflection_evidence(t):
+    """What a check of an answer reads: evidence by rank within 8000 characters, the first always."""
+    return A.within_chars(_evidence(t)[1], 8000).select("query_id", "idx", "document", F.md5("content").alias("content"))
+
+
+@query("SELECT p.event_id AS asked, e.event_id, user_id, event_type FROM (SELECT DISTINCT event_id * 7 AS event_id FROM events WHERE event_id % 11 = 0) p LEFT JOIN events e USING (event_id)")
+def point_lookups(t):
+    """Rows by their key, for keys of which some aren't there."""
+    keys = t("events").filter("event_id % 11 = 0").select((F.col("event_id") * 7).alias("asked")).distinct()
+    rows = t("events").select("event_id", "user_id", "event_type")
+    return keys.join(rows, keys["asked"] == rows["event_id"], "left").select("asked", "event_id", "user_id", "event_type")
+
+
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 6 DAY GROUP BY 1)
+SELECT 'latency' AS kind, '' AS name, round(avg(value), 1) AS value FROM events UNION ALL SELECT 'day', CAST(day AS VARCHAR), n FROM d UNION ALL SELECT 'intent', event_type, count(*) FROM events GROUP BY event_type
+UNION ALL SELECT 'vectors', '', count(*) FROM embeddings UNION ALL SELECT 'documents', '', count(*) FROM documents UNION ALL SELECT 'messages', '', count(*) FROM conversations""")
+def stats_overview(t):
+    """Counters, mean latency, the last seven days and the mix of intents, as rows."""
+    row = lambda kind, name, value, df: df.agg(value.alias("value")).select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.col("value").cast("double").alias("value"))
+    n = F.count(F.lit(1))
+    days = daily_counts(t).select(F.lit("day"), F.col("day").cast("string"), F.col("n").cast("double"))
+    mix = t("events").groupBy("event_type").agg(n.alias("n")).select(F.lit("intent"), "event_type", F.col("n").cast("double"))
+    out = row("latency", "", F.coalesce(F.round(F.avg("value"), 1), F.lit(0.0)), t("events")).union(days).union(mix)
+    return out.union(row("vectors", "", n, t("embeddings"))).union(row("documents", "", n, t("documents"))).union(row("messages", "", n, t("conversations")))

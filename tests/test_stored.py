@@ -19,6 +19,7 @@ from corpusloom.operators.ingest import ingest
 from corpusloom.operators.stored_index import InvertedIndex
 from corpusloom.operators.vector_index import VectorIndex
 from corpusloom.plans.session import ship
+from corpusloom.plans.settings import of_file, settings
 from corpusloom.sources import load as L
 from corpusloom.sources import snapshots
 from corpusloom.sources.docx import docx_text
@@ -366,3 +367,20 @@ def test_long_chains_settle_in_few_rounds(spark, tmp_path, monkeypatch):
     assert {r.doc_id: r.kept for r in D.greedy_keep(nodes, table.filter("a > 2500"), rounds=1, settled_pairs=5).collect()} == kept | {i: True for i in range(1, 2500)}
     with pytest.raises(RuntimeError):
         D.greedy_keep(nodes, spark.createDataFrame([(2, 1), (1, 2)], "a long, b long")).collect()
+
+
+def test_settings():
+    text = "\ufeff# a comment\nCHUNK_SIZE=99999\nMMR_LAMBDA = '0.5' \nRERANK_TOP_N=7 # seven\nno line\nRERANK_TOP_N=9\nCHUNK_OVERLAP=1.5\nMIN_RELEVANCE_SCORE=-1\n"
+    found = of_file(text)
+    got = settings({"RERANK_WEIGHT": "0.25", "MMR_LAMBDA": " "}, found)
+    assert found["RERANK_TOP_N"] == "7" and got["CHUNK_SIZE"] == 4000 and got["MMR_LAMBDA"] == 0.5 and got["RERANK_TOP_N"] == 7 and got["RERANK_WEIGHT"] == 0.25
+    assert got["CHUNK_OVERLAP"] == 80 and got["MIN_RELEVANCE_SCORE"] == 0 and settings()["LONG_TERM_MAX_ITEMS"] == 60
+
+
+def test_sentence_offsets_are_slices(spark, sf_dir):
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-1, " 一。二！」 x;\n\n y "), (-2, None), (-3, "")], docs.schema))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = D.sentence_offsets(docs).collect()
+    assert all(texts[r.doc_id][r.start : r.start + r.n_chars] == r.content for r in rows)
+    assert [r.content for r in sorted((r for r in rows if r.doc_id == -1), key=lambda r: r.ordinal)] == ["一。", "二！」", "x;", "y"]
