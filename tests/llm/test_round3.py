@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import clusters, langid, pii, quality_model, queries, token_files, vector_codes
+from corpusloom.llm import clusters, langid, packing, pii, quality_model, quality_rules, queries, token_files, vector_codes
 from corpusloom.llm.common import shared_dir
 from corpusloom.plans.session import ship
 
@@ -302,3 +302,60 @@ def test_near_dedup_by_row(spark, sf_dir):
     got = P.near_dedup(spark, docs, sf_dir)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(1, a), (7, rows[2][1]), (7, ""), (0, a), (3, "same words here")])
+
+
+def spark_hash(*words):
+    """Spark's xxhash64 of several strings: each is hashed with the hash before it as seed."""
+    import xxhash
+
+    h = 42
+    for w in words:
+        h = xxhash.xxh64(w.encode(), seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_quality_ratio_by_brute_force(spark, sf_dir):
+    import collections
+    import math
+    import re
+
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 AND toxic = 0")
+    good = {r.doc_id for r in trusted.collect()}
+    grams = {}
+    for r in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        grams[r.doc_id] = [spark_hash(x) % quality_rules.BUCKETS for x in w] + [spark_hash(x, y) % quality_rules.BUCKETS for x, y in zip(w, w[1:])]
+    every, own = (collections.Counter(g for i in ids for g in grams[i]) for ids in (grams, good & set(grams)))
+    n, m = sum(every.values()), sum(own.values())
+    weight = [math.log((own[b] + 1) / (m + quality_rules.BUCKETS)) - math.log((every[b] + 1) / (n + quality_rules.BUCKETS)) for b in range(quality_rules.BUCKETS)]
+    rows = quality_rules.quality_rules(docs, trusted).collect()
+    for r in rows:
+        ratio = sum(weight[g] for g in grams[r.doc_id]) / len(grams[r.doc_id]) if grams[r.doc_id] else 0.0
+        assert r.ratio == pytest.approx(ratio, abs=1e-9) and r.kept == (not r.base_failed and r.ratio >= quality_rules.MIN_RATIO)
+    assert any(r.kept for r in rows) and any(not r.kept and not r.base_failed for r in rows)
+
+
+def test_label_model_by_brute_force():
+    rng = np.random.default_rng(8)
+    votes = rng.integers(-1, 2, (400, 4))
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    few, every = quality_model.fit_labels(patterns, counts), quality_model.fit_labels(votes, np.ones(len(votes)))
+    assert few.prior == pytest.approx(every.prior) and np.allclose(few.rates, every.rates)
+    for row in patterns[:20]:
+        likely = [p * np.prod([few.rates[j, kind, v + 1] for j, v in enumerate(row)]) for kind, p in ((0, 1 - few.prior), (1, few.prior))]
+        assert few.posterior(row[None])[0] == pytest.approx(likely[1] / sum(likely))
+
+
+def test_deficits_over_lanes(spark, sf_dir):
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    rows = packing.pack(docs, packing.tokenizer_path(), lane_tokens=12_000).toPandas()
+    rows["at"] = rows.sequence_id * packing.WINDOW + rows.offset
+    rows = rows.sort_values("at").reset_index(drop=True)
+    total = rows.length.sum()
+    assert total > 8 * 12_000 and (rows["at"] == rows.length.cumsum() - rows.length).all()
+    end = rows["at"] + rows.length
+    for source, own in rows.groupby("source"):
+        share = own.length.sum() / total
+        behind = np.abs(share * end - rows.length.where(rows.source == source, 0).cumsum()).max()
+        assert behind < 12_000, (source, behind)  # what a lane holds too much of one source, the next ones make good
