@@ -1,4 +1,4 @@
-"""Queries whose rows take every branch of the small operators, with the reference constants, and their SQL."""
+"""Queries whose rows take every branch of the small operators, with the constants that these have by default, and their SQL."""
 
 from __future__ import annotations
 
@@ -55,7 +55,7 @@ def rewrite_questions(t):
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM r WHERE back > 12 AND role IN ('user', 'assistant'))
 SELECT conv_id, left(string_agg(role || '：' || text, '；' ORDER BY turn), 300) AS summary FROM o WHERE n >= 4 AND r <= 6 GROUP BY 1""")
 def long_summaries(t):
-    """Summaries with the reference constants, of conversations long enough for them."""
+    """Summaries with the default constants, of conversations long enough for them."""
     rows = t("conversations").select((F.col("conv_id") % 10).alias("conv_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("turn"), "role", "text")
     return C.rolling_summary(rows)
 

@@ -16,7 +16,7 @@ from corpusloom.operators import corpus as D
 from corpusloom.operators import index as I
 from corpusloom.operators import structure as U
 from corpusloom.operators import vectors as V
-from corpusloom.plans.catalogue import QUERIES, SQL
+from corpusloom.plans.branches import QUERIES, SQL
 from corpusloom.plans.session import ship
 from corpusloom.operators import tables as B
 from corpusloom.sources import load as L
