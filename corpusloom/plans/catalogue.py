@@ -388,7 +388,7 @@ def _by_number(t) -> tuple[DataFrame, DataFrame]:
 @query()
 def hybrid_fuse(t):
     asked, docs = _questions(t)
-    near = V.knn(V.dense(t("benchmark"), "item_id"), V.dense(docs), S.CANDIDATES, others=False)
+    near = V.knn(V.dense(t("benchmark"), "item_id"), stored(V.dense(docs)), S.CANDIDATES, others=False)
     return S.shortlist(asked, docs, near).filter("rank <= 6").select("query_id", "doc_id", "score", "relevance", "rank")
 
 
